@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, language_id, token_orc
+from marginalia.llm import decontaminate, exact_dedup, language_id, near_dedup, sentencepiece_viterbi, substring_dedup, token_orc
 from marginalia.llm.common import table
 
 
@@ -22,18 +22,36 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = token_orc.new_path(spark)
     token_orc.write(table(spark, sf_dir, "documents"), at)
     return token_orc.digest(token_orc.read(spark, at))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.digest(sentencepiece_viterbi.encode(table(spark, sf_dir, "documents")))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("kept", ~F.col("contaminated"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op5_token_orc, op9_exact_dedup)}
+    return {f.__name__: f for f in (
+        op1_language_id, op3_substring_dedup, op4_near_dedup, op5_token_orc, op6_sentencepiece, op7_decontaminate, op9_exact_dedup,
+    )}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -15,6 +15,7 @@ long texts are encoded whole; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import zlib
@@ -33,6 +34,8 @@ STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
 #: Words whose ids a worker keeps, in each of two generations.
 CACHE_WORDS = 150_000
+#: Stands for the end of a text among words; no word has white space.
+END = b" "
 SCHEMA = "doc_id long, part_start long, n_tokens long, ids array<int>"
 
 
@@ -40,40 +43,73 @@ class WordEncoder:
     """Ids of texts by way of their words.
 
     The tokenizer drops white space and its patterns never reach across it, so
-    the ids of a text are those of its words, one after the other. Words are
-    cached in two generations: when the young one is full it becomes the old.
+    the ids of a text are those of its words, one after the other. A word of
+    Latin-1 letters is one token of the pre-tokenizer, and a comma or full stop
+    after it another, so it goes to the library's BPE model at once; other
+    words take the library's whole way. Words are cached in two generations:
+    when the young one is full it becomes the old.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
-
-    def ids(self, texts: list[bytes]) -> list[list[list[int]]]:
-        """For each text the ids of each of its words."""
-        words = [t.split() for t in texts]
-        known = {}
-        young, old = self.young, self.old
-        new = []
-        for w in set(chain.from_iterable(words)):
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        # How the pre-tokenizer writes the bytes of two-byte characters.
+        self.written = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
+        self.stops = {c: tuple(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ",."}
+        self.young: dict[bytes, tuple[int, ...]] = {}
+        self.old: dict[bytes, tuple[int, ...]] = {}
+
+    def _word(self, raw: bytes) -> tuple[int, ...] | None:
+        w, stop = raw.decode().lower(), ()
+        if w[-1] in ",." and len(w) > 1:
+            stop, w = self.stops[w[-1]], w[:-1]
+        if not w.isalpha() or max(w) > "\xff":
+            return None
+        if not w.isascii():
+            w = w.translate(self.written)
+        return (*[t.id for t in self.model.tokenize(w)], *stop)
+
+    def flat(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with end_id after it, and how many each has."""
+        words: list[bytes] = []
+        ends = np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            words += t.split()
+            words.append(END)
+            ends[k] = len(words)
+        index = dict.fromkeys(words)
+        young, old, slow = self.young, self.old, []
+        rows: list = []
+        for k, w in enumerate(index):
+            index[w] = k
             got = young.get(w)
             if got is None:
                 got = old.get(w)
                 if got is None:
-                    new.append(w)
-                    continue
-                young[w] = got
-            known[w] = got
-        if new:
-            found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            for w, e in zip(new, found):
-                known[w] = young[w] = e.ids
+                    got = (end_id,) if w is END else self._word(w)
+                    if got is None:
+                        slow.append(k)
+                if got is not None and w is not END:
+                    young[w] = got
+            rows.append((w, got) if got is None else got)
+        if slow:
+            found = self.tokenizer.encode_batch([rows[k][0].decode() for k in slow], add_special_tokens=False)
+            for k, e in zip(slow, found):
+                young[rows[k][0]] = rows[k] = tuple(e.ids)
         if len(young) > CACHE_WORDS:
             self.old, self.young = young, {}
-        return [[known[w] for w in ws] for ws in words]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        pool = np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum()))
+        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        count = sizes[at]
+        total = np.concatenate([[0], np.cumsum(count)])
+        source = np.repeat((np.cumsum(sizes) - sizes)[at] - total[:-1], count) + np.arange(total[-1])
+        return pool[source], np.diff(total[ends], prepend=0)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -93,14 +129,13 @@ def encoder(path: str | None) -> WordEncoder:
 def _encode(path: str | None, end_id: int):
     def run(it):
         enc, before = encoder(path), 0
+        gc.disable()  # millions of small tuples and no cycles
         for b, data, bounds in batches(it):
             raw, at = data.tobytes(), bounds.tolist()
-            per_doc = enc.ids([raw[i:j] for i, j in zip(at, at[1:])])
-            flat = [np.fromiter(chain(chain.from_iterable(ws), (end_id,)), np.int32) for ws in per_doc]
-            sizes = np.array([len(x) for x in flat], np.int64)
+            values, sizes = enc.flat([raw[i:j] for i, j in zip(at, at[1:])], end_id)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             starts, before = before + offsets[:-1], before + int(offsets[-1])
-            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(flat)))
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(starts), pa.array(sizes), ids], names=["doc_id", "part_start", "n_tokens", "ids"])
 
     return run
