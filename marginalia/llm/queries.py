@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, exact_dedup, language_id, near_dedup, sentencepiece_viterbi, substring_dedup, token_orc
-from marginalia.llm.common import table
+from marginalia.llm import (
+    context_tree,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    near_dedup,
+    sentencepiece_viterbi,
+    sharding,
+    substring_dedup,
+    token_orc,
+    toxicity,
+)
+from marginalia.llm.common import shared_dir, table
 
 
 def _remainder(n: int):
@@ -22,6 +34,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+#: The label columns as categories, in the chain's order.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+    return toxicity.predict(docs, model).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -44,14 +66,37 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("kept", ~F.col("contaminated"))
 
 
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"), _remainder(7) != 2)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.ShardTable(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    shards.append(table(spark, sf_dir, "documents"))
+    version = shards.compact()
+    return shards.read(version).select(
+        "doc_id", F.col("_shard").alias("shard"), F.col("_tier").alias("tier"), F.lit(version).alias("version"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (
-        op1_language_id, op3_substring_dedup, op4_near_dedup, op5_token_orc, op6_sentencepiece, op7_decontaminate, op9_exact_dedup,
-    )}
+    every = (
+        op1_language_id,
+        op2_toxicity,
+        op3_substring_dedup,
+        op4_near_dedup,
+        op5_token_orc,
+        op6_sentencepiece,
+        op7_decontaminate,
+        op8_context_tree,
+        op9_exact_dedup,
+        op10_sharding,
+    )
+    return {f.__name__: f for f in every}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

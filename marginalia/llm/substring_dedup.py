@@ -71,7 +71,7 @@ def _prints(words: Words, k: int, drop: int) -> tuple[np.ndarray, np.ndarray, np
     return s[new], at[order[new]], h, at
 
 
-def _layout(shard_bits: int) -> tuple[int, int, int]:
+def layout(shard_bits: int) -> tuple[int, int, int]:
     """Bytes sent, bits below the shard's number, and bits of a hash that are dropped."""
     width = WIDTH if shard_bits <= 8 else 8
     kept = min(64, 8 * width + shard_bits)
@@ -79,7 +79,7 @@ def _layout(shard_bits: int) -> tuple[int, int, int]:
 
 
 def _ask(k: int, shard_bits: int):
-    width, below, drop = _layout(shard_bits)
+    width, below, drop = layout(shard_bits)
 
     def run(group: pa.Table) -> pa.Table:
         ids, words = _sorted_words(group)
@@ -106,7 +106,7 @@ def _ask(k: int, shard_bits: int):
 
 def _answer(group: pa.Table, shard_bits: int) -> pa.Table:
     """For each window that several buckets have: its owner's bucket, and the others."""
-    width, below, _ = _layout(shard_bits)
+    width, below, _ = layout(shard_bits)
     shard = group.column("shard")[0].as_py()
     prints, docs, buckets = [], [], []
     for bucket, ids, counts, low in zip(*(group.column(c).to_pylist() for c in ("bucket", "ids", "counts", "prints"))):
@@ -148,7 +148,7 @@ def _answer(group: pa.Table, shard_bits: int) -> pa.Table:
 
 
 def _passages(k: int, shard_bits: int):
-    drop = _layout(shard_bits)[2]
+    drop = layout(shard_bits)[2]
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         none = pa.table({"bucket": pa.array([], pa.int32()), "owner": pa.array([], pa.int64()), "passage": pa.array([], pa.binary())})

@@ -33,7 +33,7 @@ TOKENIZER = "word_bpe_49k.json"
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
 #: Words whose ids a worker keeps, in each of two generations.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 #: Stands for the end of a text among words; no word has white space.
 END = b" "
 SCHEMA = "doc_id long, part_start long, n_tokens long, ids array<int>"
