@@ -110,6 +110,16 @@ class ShardTable:
         files = [(p, n) for p, n in self._list(out) if "/part-" in p]
         return [(int(p.rpartition("/part-")[2][:5]), p, n) for p, n in files]
 
+    def _written_apart(self, parts: list[DataFrame]) -> list[tuple[int, str, int]]:
+        """Write frames of one partition each in one job, a file each."""
+        key = "spark.sql.unionOutputPartitioning"  # else a union of single partitions is a single partition
+        held = self.spark.conf.get(key, "true")
+        self.spark.conf.set(key, "false")
+        try:
+            return self._written(reduce(DataFrame.union, parts))
+        finally:
+            self.spark.conf.set(key, held)
+
     def append(self, rows: DataFrame) -> int:
         """Add rows as small shards, one for each partition; the new version."""
         files = self._written(rows)
@@ -151,10 +161,10 @@ class ShardTable:
         for i in range(0, len(runs), WAVE):
             wave = runs[i : i + WAVE]
             parts = [self.spark.read.schema(kind).parquet(*[s.path for s in run]).coalesce(1) for run in wave]
-            files = self._written(reduce(DataFrame.union, parts))
+            files = self._written_apart(parts)
             if len(files) != len(wave):
                 raise RuntimeError(f"{len(wave)} merges gave {len(files)} files")
-            merged += [Shard(p, n, sum(s.rows for s in wave[k].copy()), tier_of(n)) for k, p, n in files]
+            merged += [Shard(p, n, sum(s.rows for s in wave[k]), tier_of(n)) for k, p, n in files]
         gone = {s.path for run in runs for s in run}
         self._commit(version + 1, [s for s in live if s.path not in gone] + merged, schema)
         return version + 1
