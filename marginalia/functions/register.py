@@ -32,10 +32,9 @@ def register_xxh32(spark: SparkSession) -> None:
     """xxh32(text, seed) over Arrow batches; only where the xxhash library is installed."""
     import pandas as pd
     import xxhash
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
 
-    @pandas_udf("long")
-    def xxh32(text: pd.Series, seed: pd.Series) -> pd.Series:
+    def xxh32(text, seed):
         return pd.Series([None if t is None else xxhash.xxh32_intdigest(t, int(s)) for t, s in zip(text, seed)], dtype="Int64")
 
-    spark.udf.register("xxh32", xxh32)
+    spark.udf.register("xxh32", pandas_udf(xxh32, "long", PandasUDFType.SCALAR))
