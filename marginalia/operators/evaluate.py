@@ -44,3 +44,25 @@ def misclassification(train: DataFrame, test: DataFrame, columns: list[str], tar
     model = Pipeline(stages=steps).fit(train.select(*inputs, label))
     predicted = model.transform(test.select(*inputs, label))
     return 1.0 - MulticlassClassificationEvaluator(metricName="accuracy").evaluate(predicted)
+
+
+def experiment(real: DataFrame, make, columns: list[str], name: str, epsilons=(0.4, 0.8, 1.6, 3.2), repeats: int = 5, ways=(3, 4, 5), number: int = 300) -> DataFrame:
+    """(epsilon, data, repeat, k, tvd) of synthetic tables made by make(epsilon, repeat)."""
+    parts = []
+    for e in epsilons:
+        for r in range(repeats):
+            d = marginal_distance(real, make(e, r), columns, ways, number, seed=r)
+            parts.append(d.select(F.lit(float(e)).alias("epsilon"), F.lit(name).alias("data"), F.lit(r).alias("repeat"), "k", "tvd"))
+    return marginals.union_all(parts)
+
+
+def cross_validated(df: DataFrame, make, columns: list[str], target: str, key: str, k: int = 5, seed: int = 0, method: str = "forest") -> float:
+    """The mean misclassification over folds of a classifier trained on make(training rows) and tested on the rows held out."""
+    from marginalia.operators.relations import folds
+
+    dealt = folds(df, key, seed, k).persist()
+    try:
+        wrong = [misclassification(make(dealt.where(F.col("fold") != f).drop("fold")), dealt.where(F.col("fold") == f), columns, target, method, seed) for f in range(k)]
+    finally:
+        dealt.unpersist()
+    return sum(wrong) / k

@@ -129,3 +129,23 @@ def fit(df: DataFrame, columns: list[str], key: str, s: Settings = Settings()) -
         if k >= 10 and abs(np.mean(history[-5:]) - np.mean(history[-10:-5])) < s.tolerance:
             break
     return Latent(s, theta, p, alpha if alpha is not None else cut(structure(rows, theta, post)), history)
+
+
+def information_beyond_chance(rows: DataFrame, post: DataFrame, copies: int = 20, share: float = 0.95, seed: int = 0) -> DataFrame:
+    """(attr, factor, mi): mutual information less its mean over permuted posteriors, 0 where it is within their range.
+
+    Each copy pairs rows with the posteriors of another row by a hashed order.
+    """
+    spark = rows.sparkSession
+    real = mutual_information(frequencies(rows, post)).withColumnRenamed("mi", "real")
+    ids = rows.select("row_id").distinct()
+    order = ids.withColumn("place", F.row_number().over(Window.orderBy("row_id")))
+    made = None
+    for k in range(copies):
+        other = ids.withColumn("place", F.row_number().over(Window.orderBy(uniform(F.lit(f"{seed}:{k}"), F.col("row_id")), "row_id"))).withColumnRenamed("row_id", "from")
+        moved = order.join(other, "place").select("row_id", "from").join(post.select(F.col("row_id").alias("from"), "factor", "state", "p"), "from").drop("from")
+        mi = mutual_information(frequencies(rows, moved))
+        made = mi if made is None else made.unionByName(mi)
+    made = cut(made) if made is not None else spark.createDataFrame([], "attr int, factor int, mi double")
+    chance = made.groupBy("attr", "factor").agg(F.avg("mi").alias("mean"), F.expr(f"percentile(mi, {share})").alias("high"))
+    return real.join(chance, ["attr", "factor"]).select("attr", "factor", F.when(F.col("real") <= F.col("high"), 0.0).otherwise(F.col("real") - F.col("mean")).alias("mi"))

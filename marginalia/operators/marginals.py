@@ -59,9 +59,9 @@ def dense(df: DataFrame, columns: list[str], domain: Domain | None = None) -> Da
 def batch(df: DataFrame, sets: list[list[str]]) -> DataFrame:
     """Several marginals in one pass: set_id (a bit for each column that isn't in the set), the columns, value."""
     columns = list(dict.fromkeys(c for s in sets for c in s))
-    counts = df.groupBy(*columns).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*columns).agg(F.count("*").alias("__n"))
     grouped = counts.groupingSets([[F.col(c) for c in s] for s in sets], *columns)
-    return grouped.agg(F.sum("n").alias("value"), F.grouping_id(*columns).alias("set_id")).select("set_id", *columns, "value")
+    return grouped.agg(F.sum("__n").alias("value"), F.grouping_id(*columns).alias("set_id")).select("set_id", *columns, "value")
 
 
 def entropy(counts: DataFrame, value: str = "value") -> DataFrame:
@@ -135,11 +135,11 @@ def utility(real: DataFrame, made: DataFrame, sets: list[list[str]]) -> DataFram
     columns = list(dict.fromkeys(c for s in sets for c in s))
 
     def shares(df: DataFrame, sign: int) -> DataFrame:
-        return df.groupBy(*columns).agg(F.count("*").alias("c")).withColumn("w", F.lit(sign) * F.col("c") / F.sum("c").over(Window.partitionBy())).drop("c")
+        return df.groupBy(*columns).agg(F.count("*").alias("__c")).withColumn("__w", F.lit(sign) * F.col("__c") / F.sum("__c").over(Window.partitionBy())).drop("__c")
 
     both = shares(real, 1).unionByName(shares(made, -1))
-    by_cell = both.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.sum("w").alias("w"), F.grouping_id(*columns).alias("set_id"))
-    return by_cell.groupBy("set_id").agg((F.sum(F.abs("w")) / 2).alias("tvd"))
+    by_cell = both.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.sum("__w").alias("__w"), F.grouping_id(*columns).alias("__set"))
+    return by_cell.groupBy(F.col("__set").alias("set_id")).agg((F.sum(F.abs("__w")) / 2).alias("tvd"))
 
 
 # Factors: marginals with real values

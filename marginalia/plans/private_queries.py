@@ -10,6 +10,7 @@ from marginalia.functions import register
 from marginalia.operators import consistency, latent, local_dp, mrf, sketch, synthesis
 from marginalia.operators import encode as enc
 from marginalia.operators import graph as gr
+from marginalia.operators import hierarchy as tree
 from marginalia.operators import marginals as mg
 from marginalia.operators import privacy as dp
 from marginalia.operators import relations as rel
@@ -375,6 +376,18 @@ def graph_edges(spark, sf):
 query()(graph_edges)
 
 
+def noisy_hierarchy_marginal(spark, sf):
+    """Customers by region, nation and segment, with noise, and zeros where a region has no such nation."""
+    from marginalia.operators.router import noisy_level_marginal
+    from marginalia.plans.marginal_queries import nation_tree
+
+    coarse = tree.coarse_table(spark, nation_tree(spark, sf), 0)
+    return noisy_level_marginal(table(spark, sf, "customer"), "c_nationkey", coarse, ["c_mktsegment"], 2.0, 5)
+
+
+query()(noisy_hierarchy_marginal)
+
+
 # Accounting
 
 

@@ -78,6 +78,8 @@ class Synthesizer:
     rounds: int = 3
     max_steps: int = 1000
     noiseless: bool = False
+    #: "distance" takes the candidates farthest from the model; "exponential" draws them by the exponential mechanism.
+    select: str = "distance"
     model: mrf.Model | None = None
     books: dict = field(default_factory=dict)
     columns: list = field(default_factory=list)
@@ -121,7 +123,11 @@ class Synthesizer:
             # The candidates whose noisy distance from the model is largest join the fit.
             found = measured_tables(coded, sizes, others, sigma, self.seed + 1 + k)
             beliefs = self.model.propagate()
-            far = sorted(others, key=lambda m: -float(np.abs(found[m] - self.model.marginal(m, beliefs)).sum()))
+            gap = {m: float(np.abs(found[m] - self.model.marginal(m, beliefs)).sum()) / 2 / n for m in others}
+            if self.select == "exponential":
+                # Sensitivity 1 / 2n; the largest Gumbel-noised scores are draws without replacement.
+                gap = {m: g * self.epsilon * n + rng.gumbel() for m, g in gap.items()}
+            far = sorted(others, key=lambda m: (-gap[m], m))
             new = far[: max(1, len(others) // 3)]
             held |= {m: found[m] for m in new}
             others = [m for m in others if m not in held]

@@ -344,3 +344,38 @@ def test_vertical(spark, method):
 def test_misclassification(spark, method):
     df = spark.createDataFrame([(k % 2, k % 2, k % 3) for k in range(120)], "a int, b int, c int")
     assert evaluate.misclassification(df, df, ["a", "b", "c"], "a", method) == pytest.approx(0.0)
+
+
+def test_router(spark, hand):
+    from marginalia.operators import router
+
+    sizes = {"a": 2, "b": 3}
+    model = mrf.Model.of(gr.Graph(["a"], set()), {"a": 2}, 8.0)
+    reports = router.reassemble([local_dp.perturb_columns(hand, {c: d}, 50.0, "row_id", 1) for c, d in sizes.items()], "row_id")
+    r = router.Router([({"a"}, model)], router.from_responses(reports, sizes, 50.0, 8), 8.0)
+    assert r.marginal(("a",)) == pytest.approx([4, 4])
+    assert r.marginal(("a", "b")) == pytest.approx(np.array([[3, 1, 0], [1, 1, 2]]), abs=1e-6)
+    sides = [sketch.complements(sketch.value_sketches(hand, "row_id", [c], 16)) for c in "ab"]
+    answer = router.from_sketches(sides, sizes, 8, 16)
+    assert answer(("b", "a")).shape == (3, 2) and answer(("a", "b")).sum() == pytest.approx(8) and answer(("b",)).shape == (3,)
+    assert router.independent([np.array([1.0, 3.0]), np.array([2.0, 2.0])], 8.0) == pytest.approx(np.array([[1, 1], [3, 3]]))
+
+
+def test_experiment_and_cross_validation(spark):
+    df = spark.createDataFrame([(k, k % 2, k % 2, k % 3) for k in range(90)], "k int, a int, b int, c int")
+    got = evaluate.experiment(df, lambda e, r: df, ["a", "b", "c"], "t", (1.0,), 1, (2,), 3).collect()
+    assert [(r["epsilon"], r["k"]) for r in got] == [(1.0, 2)] and got[0]["tvd"] == pytest.approx(0)
+    assert evaluate.cross_validated(df, lambda train: train, ["a", "b", "c"], "a", "k", 2) == pytest.approx(0)
+
+
+def test_information_beyond_chance(spark):
+    df = spark.createDataFrame([(k, k % 2, (k * 7919 >> 3) % 3) for k in range(120)], "k int, a int, b int")
+    rows = latent.long_rows(df, ["a", "b"], "k")
+    post = df.select(F.col("k").alias("row_id"), F.lit(0).alias("factor"), F.posexplode(F.array(1.0 - F.col("a"), F.col("a") * 1.0)).alias("state", "p"))
+    got = {r["attr"]: r["mi"] for r in latent.information_beyond_chance(rows, post, 5).collect()}
+    assert got[0] > 0.5 and got[1] < 0.1
+
+
+def test_exponential_selection(spark):
+    df = spark.createDataFrame([(k % 2, k % 3, k % 2) for k in range(300)], "a int, b int, c int")
+    assert Synthesizer(epsilon=4.0, select="exponential", max_steps=50).fit(df).sample(spark, 50).count() == 50
