@@ -10,10 +10,14 @@ threshold is missed with a probability under MISS.
    digest); its smallest doc_id stands for it from here on.
 2. In each band the smallest document is the hub; all others are compared
    with it on their full sets, and components of the confirmed links formed.
-3. Where a band still holds several components, documents of different ones
-   are compared with each other: first by signature, in tiles of TILE
-   documents, then the likely pairs on full sets. No group is spelled out in
-   pairs: once linked, documents are not compared again.
+3. Documents of bands that still hold several components are loose. Two of
+   them can reach the threshold only if they share one of the rarest shingles
+   of each (the prefix of its set in the order of document counts, as long as
+   the threshold allows differences). Loose documents of different components
+   that share such a shingle are compared by signature, in tiles of TILE
+   documents, then the likely pairs on full sets. Copies with many edits have
+   rare shingles of their own and meet no one; those with few edits have been
+   linked to the hub. No group is spelled out in pairs.
 
 Components come from alternating large-star and small-star steps, with a
 table in the shared folder after each; nothing is gathered on the driver.
@@ -33,7 +37,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import LOWER, Words, batches, mix, stored
@@ -142,20 +146,48 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_confirm(percent, k), "a long, b long")
 
 
+def _shingle_hashes(k: int):
+    def run(it):
+        for b, data, bounds in batches(it):
+            words = Words(LOWER[data], bounds)
+            h, at = words.windows(words.hashes(), k)
+            cut = np.searchsorted(words.doc[at], np.arange(b.num_rows + 1)).tolist()
+            sets = [np.unique(h[i:j]).view(np.int64) for i, j in zip(cut, cut[1:])]
+            keys = [int(mix(x.view(np.uint64)).sum()) - (1 << 63) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("comp"), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "comp", "key", "shingles"])
+
+    return run
+
+
+def _prefixes(loose: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """(shingle, doc, comp, n, rank): of each set its rarest shingles, one more than a linked set may lack, with the set's size."""
+    rows = loose.join(texts.withColumnRenamed("doc_id", "doc"), "doc").mapInArrow(_shingle_hashes(k), "doc long, comp long, key long, shingles array<long>")
+    every = rows.select("doc", "comp", "key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    known = every.groupBy("shingle").agg(F.count("*").alias("docs"))
+    ranked = every.join(known, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("doc", "key").orderBy("docs", "shingle")))
+    return ranked.where(f"docs > 1 and rank <= n - ceil(n * {percent} / 100) + 1").select("shingle", "doc", "comp", "n", "rank")
+
+
 def _likely(percent: int):
-    """Pairs of two tiles (or of one) whose components differ and whose signatures nearly agree."""
+    """Pairs of two tiles (or of one) whose components differ, that can reach the threshold, and whose signatures nearly agree.
+
+    Where two linked sets share their first shingle in the common order, all
+    they have in common comes from there on; so a pair with too little left
+    behind this shingle is not linked, or meets at an earlier one.
+    """
     least = percent / 100 - MARGIN
 
     def run(group: pa.Table) -> pa.Table:
-        doc, comp, tile = (group.column(c).to_numpy() for c in ("doc", "comp", "tile"))
-        hub = group.column("hub")[0].as_py()
+        doc, comp, tile, n, rank = (group.column(c).to_numpy() for c in ("doc", "comp", "tile", "n", "rank"))
+        rest = n - rank + 1
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(doc), -1)
         one, two = (group.column(c)[0].as_py() for c in ("low", "high"))
-        left = np.flatnonzero((tile == one) & (doc != hub))
-        right = np.flatnonzero((tile == two) & (doc != hub))
+        left = np.flatnonzero(tile == one)
+        right = np.flatnonzero(tile == two)
         a, b = [], []
         for i in left.tolist():
             j = right[(comp[right] != comp[i]) & ((doc[right] > doc[i]) if one == two else True)]
+            j = j[np.minimum(rest[j], rest[i]) * (100 + percent) >= percent * (n[j].astype(np.int64) + n[i])]
             if j.size:
                 j = j[(sig[j] == sig[i]).mean(1) >= least]
                 a.extend(np.minimum(doc[j], doc[i]).tolist())
@@ -203,22 +235,23 @@ def dedup(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, rows: int =
     )
     fits = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     pairs = members.where("doc <> hub").where(fits).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    texts = stored(named.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    texts = stored(named.join(members.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     first = stored(confirmed(pairs, texts, percent, k), "links")
 
     comp = components(first.unionByName(joint))
     state = stored(members.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "state")
     open_bands = state.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("docs").alias("size")).where("lo <> hi and size > 2").select("band")
-    tiles = F.ceil(F.col("docs") / F.lit(TILE)).cast("int")
+    loose = state.join(open_bands, "band").select("doc", "comp").distinct()
+    prefixes = stored(_prefixes(loose, texts, percent, k), "prefixes")
+    mixed = prefixes.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("docs")).where("lo <> hi")
     left = (
-        state.join(open_bands, "band")
-        .withColumn("tiles", tiles)
+        prefixes.join(mixed.select("shingle", F.ceil(F.col("docs") / F.lit(TILE)).cast("int").alias("tiles")), "shingle")
         .withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("band", "doc", "comp", "hub", "tile", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"))
-        .join(stand.select(F.col("doc_id").alias("doc"), "signature", F.col("n_shingles").alias("n")), "doc")
+        .select("shingle", "doc", "comp", "n", "rank", "tile", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"))
+        .join(stand.select(F.col("doc_id").alias("doc"), "signature"), "doc")
     )
-    likely = left.groupBy("band", "low", "high").applyInArrow(_likely(percent), "a long, b long").distinct()
+    likely = left.groupBy("shingle", "low", "high").applyInArrow(_likely(percent), "a long, b long").distinct()
     links = first.unionByName(joint).unionByName(confirmed(likely, texts, percent, k))
 
     final = components(links)
