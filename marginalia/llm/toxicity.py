@@ -10,10 +10,11 @@ good as those they will meet.
 by a hash of doc_id) with their whole texts; each becomes the set of its
 distinct word buckets on the executors. Of the words that at least
 MIN_DOCUMENTS sampled documents have, those count whose share of a category's
-documents is off by at least Z_LEAST standard errors; the many others would
-let a model learn its documents by heart. Documents with the same set of words
-are one in training, or copies would make their words look telling. `predict`
-passes over whole texts.
+documents is off by at least Z_LEAST standard errors, each category having
+words of its own; the many others would let a model learn its documents by
+heart. Near copies (sets of words that agree in a band of a min-hash
+signature) are one in training, or a group of copies with one label would make
+all its words look telling. `predict` passes over whole texts.
 
 Cases: null text, or text without words, has no features and gets the chain's
 bias; labels that are null are left out; an empty training table, or a
@@ -32,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import LOWER, SEPARATOR, Words, batches, ids_of
+from marginalia.llm.common import LOWER, SEPARATOR, Words, batches, ids_of, mix
 
 BUCKET_BITS = 20
 SAMPLE = 20_000
 FOLDS = 5
 MIN_DOCUMENTS = 5
 Z_LEAST = 6.0
-STEPS = 800
+#: Near copies are sets of words that agree in one of BANDS bands of BAND_ROWS min-hashes.
+BANDS, BAND_ROWS = 12, 4
+STEPS = 250
 RIDGE = 0.02
 #: What counts as white space around words here: also the marks of ASCII, but for those that stand in for letters (@ $ *).
 _MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in "@$*")
@@ -79,12 +82,10 @@ class Model:
 
 
 class Sparse:
-    """A 0/1 matrix by rows."""
+    """A 0/1 matrix: the column and the row of each one."""
 
-    def __init__(self, rows: list[np.ndarray], width: int):
-        self.width, self.at = width, np.concatenate([r.astype(np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.n = len(rows)
+    def __init__(self, at: np.ndarray, row: np.ndarray, n: int, width: int):
+        self.at, self.row, self.n, self.width = at, row, n, width
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.at], self.n)
@@ -116,27 +117,45 @@ def _logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, used: np.ndarray) ->
     return w, v, b
 
 
+def apart(rows: list[np.ndarray]) -> list[int]:
+    """Of each group of near copies the first row: one that shares no band with a row before."""
+    rng = np.random.default_rng(11)
+    factor = rng.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+    seen: set = set()
+    out = []
+    for i, r in enumerate(rows):
+        if not r.size:
+            continue
+        low = np.array([(mix(r.astype(np.uint64) * f)).min() for f in factor])
+        keys = [(k, low[k * BAND_ROWS : (k + 1) * BAND_ROWS].tobytes()) for k in range(BANDS)]
+        if seen.isdisjoint(keys):
+            out.append(i)
+        seen.update(keys)
+    return out
+
+
 def chain(rows: list[np.ndarray], labels: np.ndarray, categories: list[str], folds: np.ndarray) -> Model:
     """Train on rows of buckets; labels is rows x categories."""
     k = len(categories)
-    once = list({r.tobytes(): i for i, r in reversed(list(enumerate(rows)))}.values())[::-1]
+    once = apart(rows)
     rows, labels, folds = [rows[i] for i in once], labels[once], folds[once]
-    if not rows or not sum(map(len, rows)):
+    if not rows:
         return Model(categories, np.zeros(0, np.int32), np.zeros((0, k)), np.zeros((k, k)), np.full(k, -30.0))
-    found, count = np.unique(np.concatenate(rows), return_counts=True)
-    place = np.searchsorted(found, np.concatenate(rows))
-    sizes = list(map(len, rows))
-    telling = np.zeros(found.size, bool)
+    every = np.concatenate(rows)
+    found, count = np.unique(every, return_counts=True)
+    place, row = np.searchsorted(found, every), np.repeat(np.arange(len(rows)), list(map(len, rows)))
+    telling = np.zeros((found.size, k), bool)
     for c in range(k):
         p = np.clip(labels[:, c].mean(), 1e-9, 1 - 1e-9)
-        held = np.bincount(place, np.repeat(labels[:, c], sizes), found.size)
-        telling |= np.abs(held - count * p) >= Z_LEAST * np.sqrt(count * p * (1 - p))
-    kept = found[telling & (count >= MIN_DOCUMENTS)]
-    x = Sparse([np.searchsorted(kept, r[np.isin(r, kept, assume_unique=True)]) for r in rows], kept.size)
-    weights, links, bias, extra = np.zeros((kept.size, k)), np.zeros((k, k)), np.zeros(k), np.zeros((len(rows), 0))
+        held = np.bincount(place, labels[row, c], found.size)
+        telling[:, c] = (count >= MIN_DOCUMENTS) & (np.abs(held - count * p) >= Z_LEAST * np.sqrt(count * p * (1 - p)))
+    kept = telling.any(1)
+    weights, links, bias, extra = np.zeros((found.size, k)), np.zeros((k, k)), np.zeros(k), np.zeros((len(rows), 0))
     for c in range(k):
-        y = labels[:, c].astype(float)
-        weights[:, c], links[c, :c], bias[c] = _logistic(x, extra, y, np.ones(len(rows)))
+        y, own = labels[:, c].astype(float), np.flatnonzero(telling[:, c])
+        hit = telling[place, c]
+        x = Sparse(np.searchsorted(own, place[hit]), row[hit], len(rows), own.size)
+        weights[own, c], links[c, :c], bias[c] = _logistic(x, extra, y, np.ones(len(rows)))
         if c + 1 < k:
             unseen = np.zeros(len(rows))
             for f in range(FOLDS):
@@ -144,7 +163,7 @@ def chain(rows: list[np.ndarray], labels: np.ndarray, categories: list[str], fol
                 out = folds == f
                 unseen[out] = (x.dot(w) + extra @ v + b)[out]
             extra = np.column_stack([extra, _squash(unseen)])
-    return Model(categories, kept, weights, links, bias)
+    return Model(categories, found[kept].astype(np.int32), weights[kept], links, bias)
 
 
 def _squash(logit: np.ndarray) -> np.ndarray:
