@@ -8,6 +8,7 @@ its words' hashes, both finished by a 64-bit mixer.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -74,7 +75,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse mod 2**64, for i below n at least."""
     if not _powers or _powers[0][0].size < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
+        size = n + (1 << 19)
         out = []
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             a = np.full(size, b, np.uint64)
@@ -92,9 +93,9 @@ class Words:
     first: n + 1 offsets of the documents' words.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = SEPARATOR):
         n = data.size
-        word = ~SEPARATOR[data]
+        word = ~separator[data]
         edge = np.zeros(n + 1, bool)
         edge[bounds] = True
         edge[0] = edge[n] = True
@@ -190,3 +191,66 @@ def crc_of_ids(ids: np.ndarray) -> np.ndarray:
     import zlib
 
     return np.array([zlib.crc32(b"" if i == NO_ID else b"%d" % i) for i in ids.tolist()], np.int64)
+
+
+class WordTable:
+    """What some function gives for words, remembered by the words' hashes in arrays.
+
+    encode maps a list of words (bytes) to tuples of ints. An entry takes some
+    30 bytes; at `limit` entries the table starts anew. Words of more than
+    LONG bytes are given to encode each time.
+    """
+
+    LONG = 64
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit = encode, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The values' pool, and for each word where its values start there and how many there are."""
+        if not words.start.size:
+            return self.pool, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.keys.size > self.limit:
+            self._clear()
+        h = words.hashes()
+        long = words.end - words.start > self.LONG
+        if long.any():
+            h[long] = mix(np.flatnonzero(long).astype(np.uint64) ^ np.uint64(1 << 63))
+        order = np.argsort(h)
+        s = h[order]
+        new = np.append(True, s[1:] != s[:-1])
+        own, first = s[new], order[new]
+        which = np.empty(h.size, np.int64)
+        which[order] = np.cumsum(new) - 1
+        place = np.searchsorted(self.keys, own)
+        known = np.zeros(own.size, bool)
+        inside = place < self.keys.size
+        known[inside] = self.keys[place[inside]] == own[inside]
+        known &= ~long[first]
+        miss = np.flatnonzero(~known)
+        raw = words.data.tobytes()
+        values = self.encode([raw[i:j] for i, j in zip(words.start[first[miss]].tolist(), words.end[first[miss]].tolist())])
+        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        fresh = np.fromiter(itertools.chain.from_iterable(values), np.int32, int(sizes.sum()))
+        starts = self.pool.size + np.cumsum(sizes) - sizes
+        pool = np.concatenate([self.pool, fresh])
+        at, count = np.empty(own.size, np.int64), np.empty(own.size, np.int64)
+        at[known], count[known] = self.at[place[known]], self.count[place[known]]
+        at[miss], count[miss] = starts, sizes
+        keep = ~long[first[miss]]
+        where = place[miss][keep]
+        self.keys = np.insert(self.keys, where, own[miss][keep])
+        self.at, self.count = np.insert(self.at, where, starts[keep]), np.insert(self.count, where, sizes[keep])
+        self.pool = pool
+        return pool, at[which], count[which]
+
+
+def gathered(pool: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """pool[at : at + count] of all words in a row, and the offsets of the words in it."""
+    total = np.concatenate([[0], np.cumsum(count)])
+    return pool[np.repeat(at - total[:-1], count) + np.arange(total[-1])], total

@@ -19,23 +19,20 @@ import gc
 import os
 import uuid
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import batches, shared_dir, shuffle_partitions
+from marginalia.llm.common import WordTable, Words, batches, gathered, shared_dir, shuffle_partitions
 
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
-#: Words whose ids a worker keeps, in each of two generations.
-CACHE_WORDS = 300_000
-#: Stands for the end of a text among words; no word has white space.
-END = b" "
+#: Words whose ids a worker remembers.
+CACHE_WORDS = 1_000_000
 SCHEMA = "doc_id long, part_start long, n_tokens long, ids array<int>"
 
 
@@ -46,8 +43,7 @@ class WordEncoder:
     the ids of a text are those of its words, one after the other. A word of
     Latin-1 letters is one token of the pre-tokenizer, and a comma or full stop
     after it another, so it goes to the library's BPE model at once; other
-    words take the library's whole way. Words are cached in two generations:
-    when the young one is full it becomes the old.
+    words take the library's whole way. A table remembers the words' ids.
     """
 
     def __init__(self, path: str):
@@ -61,8 +57,7 @@ class WordEncoder:
         # How the pre-tokenizer writes the bytes of two-byte characters.
         self.written = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
         self.stops = {c: tuple(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ",."}
-        self.young: dict[bytes, tuple[int, ...]] = {}
-        self.old: dict[bytes, tuple[int, ...]] = {}
+        self.table = WordTable(self._words, CACHE_WORDS)
 
     def _word(self, raw: bytes) -> tuple[int, ...] | None:
         w, stop = raw.decode().lower(), ()
@@ -74,42 +69,21 @@ class WordEncoder:
             w = w.translate(self.written)
         return (*[t.id for t in self.model.tokenize(w)], *stop)
 
-    def flat(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        out = [self._word(w) for w in words]
+        slow = [k for k, ids in enumerate(out) if ids is None]
+        for k, e in zip(slow, self.tokenizer.encode_batch([words[k].decode() for k in slow], add_special_tokens=False)):
+            out[k] = tuple(e.ids)
+        return out
+
+    def flat(self, data: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with end_id after it, and how many each has."""
-        words: list[bytes] = []
-        ends = np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            words += t.split()
-            words.append(END)
-            ends[k] = len(words)
-        index = dict.fromkeys(words)
-        young, old, slow = self.young, self.old, []
-        rows: list = []
-        for k, w in enumerate(index):
-            index[w] = k
-            got = young.get(w)
-            if got is None:
-                got = old.get(w)
-                if got is None:
-                    got = (end_id,) if w is END else self._word(w)
-                    if got is None:
-                        slow.append(k)
-                if got is not None and w is not END:
-                    young[w] = got
-            rows.append((w, got) if got is None else got)
-        if slow:
-            found = self.tokenizer.encode_batch([rows[k][0].decode() for k in slow], add_special_tokens=False)
-            for k, e in zip(slow, found):
-                young[rows[k][0]] = rows[k] = tuple(e.ids)
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = young, {}
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        pool = np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum()))
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        count = sizes[at]
-        total = np.concatenate([[0], np.cumsum(count)])
-        source = np.repeat((np.cumsum(sizes) - sizes)[at] - total[:-1], count) + np.arange(total[-1])
-        return pool[source], np.diff(total[ends], prepend=0)
+        words = Words(data, bounds)
+        pool, at, count = self.table.find(words)
+        # The end of a text is one more word, whose id lies at the end of the pool.
+        ends = words.first[1:]
+        ids, total = gathered(np.append(pool, np.int32(end_id)), np.insert(at, ends, pool.size), np.insert(count, ends, 1))
+        return ids, np.diff(total[ends + np.arange(1, ends.size + 1)], prepend=0)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -130,9 +104,8 @@ def _encode(path: str | None, end_id: int):
     def run(it):
         enc, before = encoder(path), 0
         gc.disable()  # millions of small tuples and no cycles
-        for b, data, bounds in batches(it):
-            raw, at = data.tobytes(), bounds.tolist()
-            values, sizes = enc.flat([raw[i:j] for i, j in zip(at, at[1:])], end_id)
+        for b, data, bounds in batches(it, 1 << 20):
+            values, sizes = enc.flat(data, bounds, end_id)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             starts, before = before + offsets[:-1], before + int(offsets[-1])
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
