@@ -12,7 +12,7 @@ The search keeps a window only. Any later piece starts at most LONGEST
 characters back, so only the paths that end there survive; as soon as all of
 them run through one boundary, the ids before it are committed and the window
 starts there. Between two words no piece lies across, so paths meet at each
-word's start, and words are remembered in two generations.
+word's start, and a table remembers the words' ids.
 
 A character without a piece is committed as its UTF-8 bytes (byte pieces), or
 as the unknown id if the model has none.
@@ -25,21 +25,27 @@ rows need no care.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import batches
+from marginalia.llm.common import WordTable, Words, batches, gathered
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
+MARK_BYTES = SPACE.encode()
+ONLY_SPACE = np.zeros(256, bool)
+ONLY_SPACE[0x20] = True
 #: Characters after which the window of a long word is searched for a common boundary.
 STRIDE = 256
-#: Words whose ids a worker remembers, in each of two generations; longer words are not remembered.
-CACHE_WORDS, CACHE_LENGTH = 150_000, 64
+#: Words whose ids a worker remembers.
+CACHE_WORDS = 1_000_000
 #: Pairs of pieces whose test a worker remembers.
 CACHE_PAIRS = 500_000
 
@@ -62,9 +68,52 @@ class Encoder:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.ids))
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        #: Characters that some piece has side by side; between others no piece lies.
+        self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self._automaton()
+        #: What a piece reads as, if it stands alone: byte pieces above ASCII don't.
+        self.reads = [chr(self.byte_of[k]) if k in self.byte_of else p.replace(SPACE, " ") for k, p in enumerate(self.pieces)]
+        self.partial = {k for k, v in self.byte_of.items() if v >= 0x80}
+        self.pairs: dict[int, bool] = {}
+        self.remembered = lru_cache(50_000)(self.spaced)
+        self.table = WordTable(lambda words: [self.spaced(w.decode()) for w in words], CACHE_WORDS)
+
+    def _automaton(self) -> None:
+        """An automaton over characters whose state knows all pieces that end here, the longest first."""
+        self.children: list[dict[str, int]] = [{}]
+        own: list = [None]
+        for p, k in self.ids.items():
+            at = 0
+            for c in p:
+                if c not in self.children[at]:
+                    self.children[at][c] = len(self.children)
+                    self.children.append({})
+                    own.append(None)
+                at = self.children[at][c]
+            own[at] = (k, len(p))
+        self.fail = [0] * len(own)
+        self.ends: list[tuple] = [()] * len(own)
+        todo = list(self.children[0].values())
+        for at in todo:  # grows as it goes, level by level
+            self.ends[at] = ((own[at],) if own[at] else ()) + self.ends[self.fail[at]]
+            for c, to in self.children[at].items():
+                f = self.fail[at]
+                while f and c not in self.children[f]:
+                    f = self.fail[f]
+                self.fail[to] = self.children[f].get(c, 0)
+                todo.append(to)
+        #: State after each state and character met so far.
+        self.moves: dict[int, int] = {}
+
+    def _move(self, state: int, char: str) -> int:
+        at = state
+        while at and char not in self.children[at]:
+            at = self.fail[at]
+        at = self.children[at].get(char, 0)
+        if len(self.moves) > CACHE_PAIRS:
+            self.moves.clear()
+        self.moves[state << 21 | ord(char)] = at
+        return at
 
     def merged(self, text: str) -> list[int]:
         """Merge the neighbours with the best score, the leftmost first, until none is left; for tests of pairs."""
@@ -80,60 +129,49 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def follows(self, a: int, b: int) -> bool:
-        key = (a, b)
+        """Whether piece b may come after piece a (at the start if a is -1)."""
+        key = a << 32 | b
         got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
-            got = self.pairs[key] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
-        return got
-
-    def follows_start(self, k: int) -> bool:
-        """Whether a piece alone is encoded as itself."""
-        key = (-1, k)
-        got = self.pairs.get(key)
-        if got is None:
-            got = self.pairs[key] = self.merged(self.pieces[k]) == [k]
+            before = self.pieces[a] if a >= 0 else ""
+            got = self.pairs[key] = self.merged(before + self.pieces[b]) == ([a, b] if a >= 0 else [b])
         return got
 
     def word(self, text: str) -> list[int]:
         """Ids of text, by the streaming search."""
-        ids, longest, follows = self.ids, self.longest, self.follows
+        moves, all_ends, pairs, follows = self.moves, self.ends, self.pairs, self.follows
         out: list[int] = []
         base = 0  # the window's start: what is before has been committed
-        last: list[int] = [-1]  # piece that ends at base + i on the one path there; -1 none, -2 a character without a piece
-        i, n = 0, len(text)
-        while i < n:
-            i += 1
-            end = i - base
+        last: list = [-1]  # piece that ends at base + i on the one path there; -1 nothing before; None no path
+        state = 0
+        for i, char in enumerate(text):
             found = None
-            for size in range(min(longest, end), 0, -1):
-                k = ids.get(text[i - size : i])
-                if k is not None:
-                    before = last[end - size]
-                    if before is None:
-                        continue
-                    if before >= 0:
-                        if follows(before, k):
+            to = moves.get(state << 21 | ord(char))
+            state = self._move(state, char) if to is None else to
+            after = i + 1 - base
+            for k, size in all_ends[state]:
+                if size <= after:
+                    before = last[after - size]
+                    if before is not None:
+                        ok = pairs.get(before << 32 | k)
+                        if ok or ok is None and follows(before, k):
                             found = k
                             break
-                    elif self.follows_start(k):
-                        found = k
-                        break
-            if found is None and text[i - 1] not in ids:
-                found = -2
-            last.append(found)
-            if found == -2:
+            if found is None and char not in self.ids:
                 # No piece reaches across it: all paths meet before and after.
-                out += self._back(text, base, i - 1, last)
-                out += self._fallback(text[i - 1])
-                base, last = i, [-2]
-            elif end >= STRIDE and end % STRIDE == 0:
+                out += self._back(base, i, last)
+                out += self._fallback(char)
+                base, last = i + 1, [-1]
+                continue
+            last.append(found)
+            if after >= STRIDE and after % STRIDE == 0:
                 cut = self._meeting(last)
                 if cut > 0:
-                    out += self._back(text, base, base + cut, last)
+                    out += self._back(base, base + cut, last)
                     base, last = base + cut, last[cut:]
-        return out + self._back(text, base, n, last)
+        return out + self._back(base, len(text), last)
 
     def _step(self, last: list, i: int) -> int:
         return i - len(self.pieces[last[i]])
@@ -148,11 +186,11 @@ class Encoder:
             ends.add(self._step(last, i))
         return ends.pop()
 
-    def _back(self, text: str, base: int, to: int, last: list) -> list[int]:
+    def _back(self, base: int, to: int, last: list) -> list[int]:
         ids, i = [], to - base
         while i > 0:
             ids.append(last[i])
-            i = self._step(last, i)
+            i -= len(self.pieces[last[i]])
         return ids[::-1]
 
     def _fallback(self, char: str) -> list[int]:
@@ -160,52 +198,69 @@ class Encoder:
             return [self.unknown]
         return [self.bytes[b] for b in char.encode()]
 
-    def remembered(self, word: str) -> tuple[int, ...]:
-        got = self.young.get(word)
-        if got is None:
-            got = self.old.get(word)
-            if got is None:
-                got = tuple(self.word(word))
-            if len(word) <= CACHE_LENGTH:
-                if len(self.young) > CACHE_WORDS:
-                    self.old, self.young = self.young, {}
-                self.young[word] = got
-        return got
-
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        young = self.young
-        parts = (SPACE + text.replace(" ", SPACE)).split(SPACE)
-        # Marks in a row belong to one word: the pieces of several marks lie across them.
-        run = 0
-        for p in parts[1:]:
-            run += 1
+    def spaced(self, word: str) -> list[int]:
+        """Ids of a word with the mark of a space before it; the word has no space, but may start with more marks."""
+        if word[-1:] in (",", ".") and len(word) > 1 and word[-2:] not in self.beside:
+            # No piece lies across, so the word and its stop are encoded each for itself.
+            return self.word(SPACE + word[:-1]) + self.word(word[-1])
+        return self.word(SPACE + word)
+
+    def _general(self, text: str) -> list[int]:
+        """Ids of a text with any marks and spaces."""
+        out, run = [], 0
+        for p in text.replace(" ", SPACE).split(SPACE):
+            # Marks in a row belong to one word: the pieces of several marks lie across them.
             if p:
-                w = SPACE * run + p
-                got = young.get(w)
-                out += got if got is not None else self.remembered(w)
+                out += self.remembered(SPACE * run + p) if len(p) <= WordTable.LONG else self.spaced(SPACE * run + p)
                 run = 0
-                young = self.young
-        if run:
-            out += self.word(SPACE * run)
-        return out
+            else:
+                run += 1
+        return out + self.word(SPACE * run) if run else out
+
+    def flat(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has."""
+        n = bounds.size - 1
+        words = Words(data, bounds, ONLY_SPACE)
+        pool, at, count = self.table.find(words)
+        raw, ends = data.tobytes(), bounds.tolist()
+        # Texts with one space between words are their words; the others are taken as a whole.
+        other = np.diff(bounds) - np.diff(words.first) + 1 != np.bincount(words.doc, words.end - words.start, n).astype(np.int64)
+        other &= np.diff(bounds) > 0
+        for d in np.unique(np.searchsorted(bounds, [m.start() for m in re.finditer(MARK_BYTES, raw)], side="right") - 1).tolist():
+            other[d] = True
+        own = {d: np.array(self._general(raw[ends[d] : ends[d + 1]].decode()), np.int32) for d in np.flatnonzero(other).tolist()}
+        if own:
+            keep = ~other[words.doc]
+            sizes = np.array([x.size for x in own.values()])
+            place = np.searchsorted(words.doc[keep], list(own))
+            at = np.insert(at[keep], place, pool.size + np.cumsum(sizes) - sizes)
+            count = np.insert(count[keep], place, sizes)
+            doc = np.insert(words.doc[keep], place, list(own))
+            pool = np.concatenate([pool, *own.values()])
+        else:
+            doc = words.doc
+        ids, _ = gathered(pool, at, count)
+        return ids, np.bincount(doc, count, n).astype(np.int64)
+
+    def encode(self, text: str) -> list[int]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.flat(data, np.array([0, data.size]))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        out, held = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(self.pieces[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        if self.partial.isdisjoint(ids):
+            text = "".join(map(self.reads.__getitem__, ids))
+        else:
+            out, held = [], bytearray()
+            for i in ids:
+                b = self.byte_of.get(i)
+                if b is not None:
+                    held.append(b)
+                    continue
+                if held:
+                    out.append(held.decode("utf-8", "replace"))
+                    held.clear()
+                out.append(self.reads[i])
+            text = "".join(out) + held.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -221,13 +276,15 @@ def encoder(path: str | None = None) -> Encoder:
 def _encode(path: str | None):
     def run(it):
         enc = encoder(path)
-        for b, _, _ in batches(it):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            ids = [enc.encode(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts)])],
-                names=["doc_id", "ids", "round_trip"],
-            )
+        gc.disable()  # millions of small tuples and no cycles
+        for b, data, bounds in batches(it, 1 << 20):
+            flat, sizes = enc.flat(data, bounds)
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+            listed, cut = flat.tolist(), at.tolist()
+            raw, ends = data.tobytes(), bounds.tolist()
+            same = [enc.decode(listed[i:j]) == raw[k:m].decode().replace(SPACE, " ") for i, j, k, m in zip(cut, cut[1:], ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), ids, pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
 
     return run
 
