@@ -102,10 +102,17 @@ def has_letter(text: str) -> bool:
 
 def _features(it):
     for b, data, bounds in batches(it):
-        v = _vectors(data, bounds)
+        v = _vectors(data, bounds).astype(np.float16)
         yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.tobytes() for r in v], pa.binary())], names=["lang", "vector"])
 
 
+def _vectors_in(column: pa.Array) -> np.ndarray:
+    """The vectors of a chunk, without a copy."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.float16).reshape(-1, BUCKETS)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of one logistic model for each column of y (-1 or 1), by accelerated gradient steps."""
     n, d = x.shape
@@ -135,8 +142,10 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / counts[lang]))).otherwise(share)
     drawn = named.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share * float(1 << 30))
     rows = drawn.select("lang", "text").mapInArrow(_features, "lang string, vector binary").toArrow()
-    x = np.frombuffer(b"".join(rows["vector"].to_pylist()), np.float32).reshape(-1, BUCKETS)
     label = np.searchsorted(np.array(languages), np.array(rows["lang"].to_pylist()))
+    # Half floats straight from the Arrow buffers: the sample is on the driver once, and once more as floats.
+    x = np.concatenate([_vectors_in(c) for c in rows["vector"].chunks]).astype(np.float32)
+    del rows
     code = codewords(len(languages))
     w, b = _logistic(x, code[label].astype(np.float32))
     f = x @ w + b
