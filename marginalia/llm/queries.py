@@ -102,8 +102,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+_SEED_COLUMNS = [
+    " || ' ' || ".join(f"lead(word, {p}) OVER w" if p else "word" for p in mask) for mask in decontaminate.MASKS
+]
+
+
+def _seeds_sql(source: str, key: str, at: str) -> str:
+    """Masked spans of the words in a source as text, with the mask's number."""
+    span = max(map(max, decontaminate.MASKS))
+    parts = [
+        f"SELECT {key}, {at}, {k} AS mask, {columns} AS seed, lead(word, {span}) OVER w AS last FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY {at})"
+        for k, columns in enumerate(_SEED_COLUMNS)
+    ]
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE last IS NOT NULL"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_substring_dedup": f"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+            t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+            y AS (SELECT doc_id, p, string_agg(word, ' ') OVER v AS k, count(*) OVER v AS n FROM t
+                  WINDOW v AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+            f AS (SELECT k, min(doc_id) AS first FROM y WHERE n = 13 GROUP BY k),
+            z AS (SELECT DISTINCT y.doc_id, y.p + j AS p FROM y JOIN f ON y.k = f.k CROSS JOIN range(13) r(j) WHERE n = 13 AND first < y.doc_id),
+            g AS (SELECT t.doc_id, sum(CASE WHEN z.p IS NULL THEN 0 ELSE 1 END) AS gone, string_agg(CASE WHEN z.p IS NULL THEN word END, ' ' ORDER BY t.p) AS kept
+                  FROM t LEFT JOIN z ON t.doc_id = z.doc_id AND t.p = z.p GROUP BY t.doc_id)
+            SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
+        "op4_near_dedup": f"""
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+            t AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+            y AS (SELECT doc_id, least(n, 5) AS k, string_agg(word, ' ') OVER v AS s, count(*) OVER v AS n FROM t
+                  WINDOW v AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+            s AS (SELECT DISTINCT doc_id, k, s FROM y WHERE n = k),
+            c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s AS a JOIN s AS b ON a.s = b.s AND a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+            l AS (SELECT a, b FROM i JOIN c AS x ON x.doc_id = a JOIN c AS y ON y.doc_id = b WHERE 100 * i.n >= 85 * (x.n + y.n - i.n)),
+            e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            r AS (SELECT doc_id AS doc, doc_id AS comp FROM d UNION SELECT e.b, r.comp FROM r JOIN e ON r.doc = e.a),
+            m AS (SELECT doc, min(comp) AS comp FROM r GROUP BY doc)
+            SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, comp AS component_id, d.doc_id = comp AS kept FROM d LEFT JOIN c ON c.doc_id = d.doc_id JOIN m ON m.doc = d.doc_id""",
+        "op7_decontaminate": f"""
+            WITH dl AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+            bl AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
+            dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM dl),
+            bw AS (SELECT item_id, least(len(w), {decontaminate.WINDOW}) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM bl),
+            ds AS ({_seeds_sql("dw", "doc_id", "p")}), bs AS ({_seeds_sql("bw", "item_id", "q")}),
+            h AS (SELECT DISTINCT doc_id, item_id, p - q AS shift FROM ds JOIN bs ON ds.seed = bs.seed AND ds.mask = bs.mask),
+            o AS (SELECT h.doc_id, h.item_id, n, sum(CASE WHEN dw.word = bw.word THEN 1 ELSE 0 END) OVER v AS same, count(*) OVER v AS there
+                  FROM h JOIN bw ON bw.item_id = h.item_id JOIN dw ON dw.doc_id = h.doc_id AND dw.p = q + shift
+                  WINDOW v AS (PARTITION BY h.doc_id, h.item_id, shift, n ORDER BY q ROWS BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING)),
+            o9 AS (SELECT * FROM o WHERE n = {decontaminate.WINDOW} AND there = n AND same * 100 >= {decontaminate.PERCENT} * n),
+            f AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS item_ids, max(same * 100e0 / n) AS best_percent FROM o9 GROUP BY doc_id)
+            SELECT dl.doc_id, item_ids IS NOT NULL AS contaminated, item_ids, best_percent, item_ids IS NULL AS kept FROM dl LEFT JOIN f ON f.doc_id = dl.doc_id""",
         "op9_exact_dedup": f"""
             WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
