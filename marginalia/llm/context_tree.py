@@ -13,10 +13,13 @@ give the weight KT(s) / 2 P_w(s) of the node's own estimate against those of
 longer contexts. The probability of a bit is this mixture over all depths; a
 context that training has not seen hands its share to the one a byte shorter.
 
-Counting passes over every training text; map tasks send sums by node. Nodes
-have places in a table of fixed size: contexts of up to one byte have places
-of their own, longer ones share LEVELS[d] places by a hash. So the model is
-about 35 MB at any input, and more text sharpens its counts.
+Counting passes over every training text. Map tasks send the distinct strings
+of DEPTH + 1 bytes with their counts to shards by the two bytes nearest to the
+last; all longer contexts of these two are in the same shard, which so builds
+its part of the trees exactly, whatever the input. The model that goes to the
+scoring tasks has PLACES places of eight bytes: of nodes met twice or more those
+with the largest counts, told apart by a 16-bit tag; a node that isn't there
+counts as unseen.
 
 `score` adds a base: word counts with add-one smoothing. Each bucket of
 documents asks shards of the word space for the counts of its distinct words,
@@ -31,24 +34,33 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import LOWER, Words, batches, ids_of, ids_out, mix, shuffle_partitions, stored, text_buffers
+from marginalia.llm.common import LOWER, Words, batches, ids_of, ids_out, mix, pieces, shuffle_partitions, stored, text_buffers
 from marginalia.llm.substring_dedup import layout
 
-DEPTH = 4
-#: Places of the contexts of each depth; for 0 and 1 one for each context and node.
-LEVELS = (1 << 8, 1 << 16, 1 << 20, 1 << 20, 1 << 21)
-OFFSETS = tuple(int(x) for x in np.concatenate([[0], np.cumsum(LEVELS)]))
+DEPTH = 5
+#: Places of the model's table, and nodes that are put into it at most.
+PLACES, NODES = 1 << 23, 4_000_000
+#: Nodes met less often hand their share to the shorter context.
+LEAST = 2
+UNIT = 1 << 24
 END = 0xFF
-RANGE_BITS = 14
+#: Shards of the strings.
+SHARDS = 512
+#: Bytes of text that are scored at a time.
+PIECE = 2 << 20
 #: Distinct byte strings that a map task holds before it joins equal ones.
 HELD = 4 << 20
 
-COUNTS = "range int, slots binary, parents binary, zeros binary, ones binary"
+STRINGS = "shard int, codes binary, counts binary"
+#: places, values, counts: the frequent nodes of depth 2 and more; sizes: how many nodes have a count of 2**k and more; the rest: sums for depth 1.
+TREES = "places binary, values binary, counts binary, sizes array<long>, near binary, zeros1 binary, ones1 binary, below1 binary"
 ASK = "shard int, bucket int, prints binary, counts binary"
 ANSWER = "shard int, bucket int, counts binary, tokens long, words long"
 RESULT = "doc_id long, train boolean, n_tokens long, n_known long, known_log double, score double, n_bytes long"
@@ -71,15 +83,17 @@ def strings(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return code[own], begin
 
 
-def slot(depth: int, code: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The place of a node of the last byte's tree in the context of the depth bytes before it."""
-    if depth == 0:
-        return node.astype(np.int64)
+def key_of(depth: int, code: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The name of a node of the last byte's tree in the context of the depth bytes before it."""
     context = (code >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
-    if depth == 1:
-        return OFFSETS[1] + (context.astype(np.int64) << 8 | node.astype(np.int64))
-    key = context << np.uint64(8) | node.astype(np.uint64)
-    return OFFSETS[depth] + (mix(key + np.uint64(depth)) & np.uint64(LEVELS[depth] - 1)).astype(np.int64)
+    return np.uint64(depth << 60) | context << np.uint64(8) | node
+
+
+def _bits(code: np.ndarray):
+    """The eight decisions of the last byte: node and bit."""
+    byte = code & np.uint64(0xFF)
+    for k in range(8):
+        yield (np.uint64(1) << np.uint64(k)) | (byte >> np.uint64(8 - k)), (byte >> np.uint64(7 - k)) & np.uint64(1)
 
 
 def _joined(code: np.ndarray, count: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -106,50 +120,79 @@ def _count(it):
             code, count = _joined(np.concatenate([code, *(c for c, _ in more)]), np.concatenate([count, *(n for _, n in more)]))
             more, held = [], 0
     code, count = _joined(np.concatenate([code, *(c for c, _ in more)]), np.concatenate([count, *(n for _, n in more)]))
-    if not code.size:
-        return
-    byte = code & np.uint64(0xFF)
-    for depth in range(DEPTH + 1):
-        at, up, bit = [], [], []
-        for k in range(8):
-            node = (np.uint64(1) << np.uint64(k)) | (byte >> np.uint64(8 - k))
-            at.append(slot(depth, code, node))
-            up.append(slot(depth - 1, code, node) if depth else at[-1])
-            bit.append((byte >> np.uint64(7 - k)) & np.uint64(1))
-        at, up, bit = np.concatenate(at), np.concatenate(up), np.concatenate(bit)
-        n = np.tile(count, 8)
-        order = np.argsort(at, kind="stable")
-        at, up, bit, n = at[order], up[order], bit[order], n[order]
-        cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        ones = np.add.reduceat(n * (bit > 0), cut)
-        zeros = np.add.reduceat(n, cut) - ones
-        up = np.minimum.reduceat(up, cut)
-        at = at[cut]
-        part = at >> RANGE_BITS
-        for i, j in zip(b := np.flatnonzero(np.append(True, part[1:] != part[:-1])), np.append(b[1:], at.size)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(part[i])], pa.int32()), *(pa.array([x[i:j].astype(kind).tobytes()], pa.binary()) for x, kind in ((at, "<u4"), (up, "<u4"), (zeros, "<u8"), (ones, "<u8")))],
-                names=["range", "slots", "parents", "zeros", "ones"],
-            )
-
-
-def _sum(group: pa.Table) -> pa.Table:
-    part = group.column("range")[0].as_py()
-    at, up, zeros, ones = (np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in (("slots", "<u4"), ("parents", "<u4"), ("zeros", "<u8"), ("ones", "<u8")))
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    out = (at[cut], np.minimum.reduceat(up[order], cut), np.add.reduceat(zeros[order], cut), np.add.reduceat(ones[order], cut))
-    return pa.table([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["range", "slots", "parents", "zeros", "ones"])
+    shard = (mix((code >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(SHARDS)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    code, count, shard = code[order], count[order], shard[order]
+    for i, j in zip(b := np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))[: code.size].tolist(), [*b[1:], code.size]):
+        # Codes ascend, so their differences have few bytes and are packed well on the way.
+        blobs = (np.diff(code[i:j], prepend=np.uint64(0)).tobytes(), count[i:j].astype("<u8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([shard[i]], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=["shard", "codes", "counts"])
+
+
+def _sums(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct keys in ascending order, sums of the values for each, and the order used."""
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if s.size else np.zeros(0, np.int64)
+    return s[cut], [np.add.reduceat(v[order], cut) if cut.size else v[:0] for v in values], order
+
+
+def _merge(group: pa.Table) -> pa.Table:
+    """The distinct strings of a shard."""
+    codes = np.concatenate([np.cumsum(np.frombuffer(x, np.uint64), dtype=np.uint64) for x in group.column("codes").to_pylist()])
+    code, count = _joined(codes, np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u8"))
+    blobs = (np.diff(code, prepend=np.uint64(0)).tobytes(), count.astype("<u8").tobytes())
+    return pa.table([group.column("shard").slice(0, 1), *(pa.array([x], pa.binary()) for x in blobs)], names=["shard", "codes", "counts"])
+
+
+def _trees(least: float):
+    """The nodes of all contexts of two bytes and more that lie in a shard, and have a count of `least` at least."""
+
+    def run(it):
+        for b in it:
+            for codes, counts in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist()):
+                yield _shard_trees(np.cumsum(np.frombuffer(codes, np.uint64), dtype=np.uint64), np.frombuffer(counts, "<u8").astype(np.float64), least)
+
+    return run
+
+
+def _shard_trees(code: np.ndarray, count: np.ndarray, least: float) -> pa.RecordBatch:
+    above = np.uint64(1 << 56) - np.uint64(1)
+    keys, counts, ones, owns, sizes = [], [], [], [], np.zeros(50, np.int64)
+    # Of the depth before: the nodes' keys without their farthest byte, and their weighted probabilities.
+    up = total = None
+    for depth in range(DEPTH, 1, -1):
+        nodes, bits = zip(*_bits(code))
+        key, (n, n1), _ = _sums(np.concatenate([key_of(depth, code, u) for u in nodes]), [np.tile(count, 8), np.concatenate([count * b for b in bits])])
+        kt = block(n - n1, n1)
+        if up is None:
+            total, own = kt, np.ones(key.size)
+        else:
+            children = np.bincount(np.searchsorted(key, up), total, key.size)
+            total = np.logaddexp(kt, children) - np.log(2)
+            own = np.exp(np.minimum(0.0, kt - np.log(2) - total))
+        up = key & np.uint64((1 << 8 * depth) - 1) | np.uint64((depth - 1) << 60)
+        sizes += [int((n >= max(LEAST, 2**k)).sum()) for k in range(50)]
+        use = n >= max(LEAST, least)
+        for held, x in zip((keys, counts, ones, owns), (key, n, (n1 + 0.5) / (n + 1), own)):
+            held.append(x[use])
+        if depth > 2:
+            # Strings with the same bytes up to the next depth are one from here on.
+            code, (count,), _ = _sums(code & np.uint64((1 << 8 * depth) - 1), [count])
+    near, (zeros1, ones1, below1), _ = _sums(up & above, [n - n1, n1, total])
+    blobs = packed(*map(np.concatenate, (keys, counts, ones, owns)))
+    kinds = [pa.binary()] * 3 + [pa.list_(pa.int64())] + [pa.binary()] * 4
+    cells = [*(x.tobytes() for x in blobs), sizes, near.tobytes(), *(x.astype("<f8").tobytes() for x in (zeros1, ones1, below1))]
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(cells, kinds)], names=[x.split()[0] for x in TREES.split(", ")])
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series, after eight steps up."""
-    shift = np.zeros_like(x)
-    for k in range(8):
-        shift += np.log(x + k)
+    shift = x.copy()
+    for k in range(1, 8):
+        shift *= x + k
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
 def block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -157,50 +200,95 @@ def block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1.0)
 
 
-def weighted(slots: np.ndarray, parents: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the probability of a one (-1 where nothing was counted) and the weight of the node's own estimate."""
-    one, own = np.full(OFFSETS[-1], -1, np.float32), np.ones(OFFSETS[-1], np.float32)
-    below = None
-    for depth in range(DEPTH, -1, -1):
-        here = np.flatnonzero((slots >= OFFSETS[depth]) & (slots < OFFSETS[depth + 1]))
-        n0, n1 = zeros[here].astype(np.float64), ones[here].astype(np.float64)
-        kt = block(n0, n1)
-        total = kt
-        if below is not None:
-            children = below[slots[here] - OFFSETS[depth]]
-            total = np.logaddexp(kt, children) - np.log(2)
-            own[slots[here]] = np.exp(np.minimum(0.0, kt - np.log(2) - total))
-        one[slots[here]] = (n1 + 0.5) / (n0 + n1 + 1)
-        if depth:
-            below = np.zeros(LEVELS[depth - 1])
-            np.add.at(below, parents[here].astype(np.int64) - OFFSETS[depth - 1], total)
-    return one, own
+def packed(keys: np.ndarray, counts: np.ndarray, ones: np.ndarray, owns: np.ndarray) -> list[np.ndarray]:
+    """Each node's place in the table, its eight bytes there, and its count."""
+    place, tag = _place(mix(keys >> np.uint64(8)), keys & np.uint64(0xFF))
+    one = np.clip(np.rint(ones * UNIT), 1, UNIT - 1).astype(np.uint64)
+    own = np.clip(np.rint(owns * UNIT), 0, UNIT - 1).astype(np.uint64)
+    return [place.astype("<u4"), (tag << np.uint64(48) | one << np.uint64(24) | own).astype("<u8"), counts.astype("<f4")]
 
 
-def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The model: `weighted` of the counts over all texts of docs."""
-    partial = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count, COUNTS)
-    # At most as many places as the table has, whatever the input.
-    rows = partial.groupBy("range").applyInArrow(_sum, COUNTS).toArrow()
-    got = [np.frombuffer(b"".join(rows[c].to_pylist()), kind) for c, kind in (("slots", "<u4"), ("parents", "<u4"), ("zeros", "<u8"), ("ones", "<u8"))]
-    return weighted(got[0].astype(np.int64), *got[1:])
+class Model:
+    """A table of nodes, eight bytes each: a tag of 16 bits (0 is empty), and 24 bits each for the probability of a one and the weight of the node's own estimate."""
 
+    def __init__(self, places: np.ndarray, values: np.ndarray, counts: np.ndarray):
+        """Where two nodes meet in a place, the one with the larger count has it."""
+        self.places = np.zeros(PLACES, np.uint64)
+        order = np.argsort(counts, kind="stable")
+        self.places[places[order]] = values[order]
 
-def log10_probabilities(model: tuple[np.ndarray, np.ndarray], code: np.ndarray) -> np.ndarray:
+    def find(self, context: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether the nodes of hashed contexts are there, their probabilities and weights."""
+        place, tag = _place(context, node)
+        held = self.places[place]
+        low = np.uint64(UNIT - 1)
+        return held >> np.uint64(48) == tag, ((held >> np.uint64(24)) & low) * (1 / UNIT), (held & low) * (1 / UNIT)
+
+
+def _place(context: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = (context ^ node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(65 - PLACES.bit_length())).view(np.int64), (h >> np.uint64(16)) & np.uint64(0xFFFF) | np.uint64(1)
+
+
+def shallow(near: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> list[np.ndarray]:
+    """keys, counts, ones, owns of the nodes of one byte of context and of none, from the sums for the former."""
+    key, (n0, n1, children), _ = _sums(near, [zeros, ones, below])
+    keys, counts, p, owns = [], [], [], []
+    for depth in (1, 0):
+        kt = block(n0, n1)
+        total = np.logaddexp(kt, children) - np.log(2)
+        keys.append(key | np.uint64(depth << 60))
+        counts.append(np.full(key.size, np.inf))  # these stay in any case
+        p.append((n1 + 0.5) / (n0 + n1 + 1))
+        owns.append(np.exp(np.minimum(0.0, kt - np.log(2) - total)))
+        key, (n0, n1, children), _ = _sums(key & np.uint64(0xFF), [n0, n1, total])
+    return [np.concatenate(x) for x in (keys, counts, p, owns)]
+
+
+def fit(docs: DataFrame) -> Model:
+    """The model of all texts of docs."""
+    partial = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count, STRINGS)
+    merged = stored(partial.groupBy("shard").applyInArrow(_merge, STRINGS), "strings")
+    # How many nodes there are of each size decides which go into the table; then the trees are built again for these.
+    sizes = merged.mapInArrow(_trees(math.inf), TREES).select(F.posexplode("sizes").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
+    least = next((2 ** r["k"] for r in sizes if r["n"] <= NODES), LEAST)
+    # At most NODES nodes of 16 bytes, whatever the input, and for each shard its sums for depth 1.
+    deep = merged.mapInArrow(_trees(least), TREES).drop("sizes").toArrow()
+    nodes = [_bytes_of(deep.column(c), kind) for c, kind in (("places", "<u4"), ("values", "<u8"), ("counts", "<f4"))]
+    sums = [_bytes_of(deep.column(c), kind) for c, kind in (("near", "<u8"), ("zeros1", "<f8"), ("ones1", "<f8"), ("below1", "<f8"))]
+    del deep
+    return Model(*(np.concatenate(x) for x in zip(nodes, packed(*shallow(*sums)))))
+
+
+def _bytes_of(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The blobs of a column one after the other."""
+    parts = [text_buffers(c)[0].view(kind) for c in column.chunks]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def log10_probabilities(model: Model, code: np.ndarray) -> np.ndarray:
     """Of the last byte of each string after the bytes before it."""
-    one, own = model
-    byte = code & np.uint64(0xFF)
     out = np.zeros(code.size)
-    for k in range(8):
-        node = (np.uint64(1) << np.uint64(k)) | (byte >> np.uint64(8 - k))
-        p = np.full(code.size, -1.0)
+    contexts = [mix(key_of(depth, code, np.uint64(0)) >> np.uint64(8)) for depth in range(DEPTH + 1)]
+    for k, (node, bit) in enumerate(_bits(code)):
+        # Codes in a row with the same bytes and the same bits so far share this decision.
+        same = code >> np.uint64(8 - k)
+        new = np.append(True, same[1:] != same[:-1])
+        own_node = node[new]
+        p, known = np.full(own_node.size, 0.5), np.zeros(own_node.size, bool)
         for depth in range(DEPTH, -1, -1):
-            at = slot(depth, code, node)
-            here, w = one[at].astype(np.float64), own[at].astype(np.float64)
-            p = np.where(here < 0, -1.0, np.where(p < 0, here, w * here + (1 - w) * p))
-        p = np.where(p < 0, 0.5, p)
-        bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
-        out += np.log10(np.where(bit > 0, p, 1 - p))
+            found, one, own = model.find(contexts[depth][new], own_node)
+            # The longest context that is there stands alone; each shorter one takes its weight of the mixture.
+            own[~known] = 1.0
+            own *= found
+            one -= p
+            one *= own
+            p += one
+            known |= found
+        one = p[np.cumsum(new) - 1]
+        out += np.log10(np.where(bit > 0, one, 1 - one))
     return out
 
 
@@ -285,9 +373,10 @@ def _score(shared, shard_bits: int):
         blobs = answers.column("counts").to_pylist()
         count = np.frombuffer(b"".join(blobs[i] for i in order.tolist()), "<i8")[which]
         n = docs.num_rows
+        scores = np.concatenate([text_scores(shared.value, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in pieces(bounds, PIECE)])
         known = np.bincount(words.doc, count > 0, n).astype(np.int64)
         logs = np.bincount(words.doc, np.log10(count + 1.0), n)
-        out = (ids_out(ids_of(docs.column("doc_id"))), docs.column("train"), np.diff(words.first) + 1, known, logs, text_scores(shared.value, data, bounds), np.diff(bounds))
+        out = (ids_out(ids_of(docs.column("doc_id"))), docs.column("train"), np.diff(words.first) + 1, known, logs, scores, np.diff(bounds))
         return pa.table([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(out, kinds)], names=names)
 
     return run
