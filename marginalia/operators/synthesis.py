@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.hashing import hash32
-from marginalia.operators.encode import small
+from marginalia.operators.encode import BROADCAST_ROWS, small
 from marginalia.operators.mrf import Model, Table
 
 
@@ -34,16 +34,18 @@ def spread(counts: DataFrame, groups: list[str], value: str = "value") -> DataFr
     return counts.select(*groups, value, (hi - F.col("count")).alias("lo"), hi.alias("hi"))
 
 
-def add_column(rows: DataFrame, key: str, conditional: DataFrame, groups: list[str], name: str, seed: int) -> DataFrame:
+def add_column(rows: DataFrame, key: str, conditional: DataFrame, groups: list[str], name: str, seed: int, bound: int | None = None) -> DataFrame:
     """rows with a new column whose values follow the conditional distribution in each group of equal `groups`, in counts by largest remainder.
 
-    conditional has groups, name and prob. Rows of a group are numbered in a
+    conditional has groups, name and prob, and `bound` rows, if that is known (else
+    they are counted before a broadcast). Rows of a group are numbered in a
     hashed order and meet their value by the range of numbers.
     """
+    hint = small if bound is None else F.broadcast if bound <= BROADCAST_ROWS else (lambda x: x)
     sizes = rows.groupBy(*groups).agg(F.count("*").alias("__n")) if groups else rows.agg(F.count("*").alias("__n"))
-    joined = conditional.join(small(sizes), groups) if groups else conditional.crossJoin(sizes)
+    joined = conditional.join(hint(sizes), groups) if groups else conditional.crossJoin(sizes)
     counts = allocate(joined.withColumnRenamed(name, "value"), F.col("__n"), groups)
-    ranges = small(spread(counts, groups).where("hi > lo"))
+    ranges = hint(spread(counts, groups).where("hi > lo"))
     number = F.row_number().over(Window.partitionBy(*groups).orderBy(hash32(F.lit(f"{seed}:{name}"), F.col(key)), key)) - 1
     numbered = rows.withColumn("__row", number)
     hit = numbered.join(ranges, groups) if groups else numbered.crossJoin(ranges)
@@ -91,7 +93,7 @@ def synthesize(spark: SparkSession, model: Model, n: int, seed: int = 0, key: st
         index = np.indices(p.shape).reshape(p.ndim, -1)
         data = [(*map(int, index[:, i]), float(v)) for i, v in enumerate(p.ravel())]
         schema = ", ".join([f"`{g}` int" for g in given] + [f"`{new}` int", "prob double"])
-        rows = add_column(rows, key, spark.createDataFrame(data, schema), list(given), new, seed)
+        rows = add_column(rows, key, spark.createDataFrame(data, schema), list(given), new, seed, len(data))
         if k % 4 == 3:
             rows = cut(rows)
     return rows
