@@ -48,8 +48,8 @@ PERCENT = 80
 ROWS = 5
 MISS = 1e-6
 TILE = 500
-#: Signatures that agree in a share this far below the threshold are not compared further (over four standard errors).
-MARGIN = 0.2
+#: Signatures that agree in a share so many standard errors below the threshold are not compared further (one pair in some millions).
+MARGIN_ERRORS = 5
 
 SIGNATURES = "doc_id long, n_shingles long, sequence binary, bands array<long>, signature binary"
 
@@ -160,26 +160,33 @@ def _shingle_hashes(k: int):
 
 
 def _prefixes(loose: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """(shingle, doc, comp, n, rank): of each set its rarest shingles, one more than a linked set may lack, with the set's size."""
+    """(shingle, doc, comp, n, rank, before): of each set its rarest shingles, one more than a linked set may lack.
+
+    With the set's size, the shingle's rank in it, and the shingles before it that other sets have too.
+    """
     rows = loose.join(texts.withColumnRenamed("doc_id", "doc"), "doc").mapInArrow(_shingle_hashes(k), "doc long, comp long, key long, shingles array<long>")
     every = rows.select("doc", "comp", "key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     known = every.groupBy("shingle").agg(F.count("*").alias("docs"))
     ranked = every.join(known, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("doc", "key").orderBy("docs", "shingle")))
-    return ranked.where(f"docs > 1 and rank <= n - ceil(n * {percent} / 100) + 1").select("shingle", "doc", "comp", "n", "rank")
+    first = ranked.where(f"docs > 1 and rank <= n - ceil(n * {percent} / 100) + 1")
+    before = F.collect_list("shingle").over(Window.partitionBy("doc", "key").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    return first.select("shingle", "doc", "comp", "n", "rank", before.alias("before"))
 
 
-def _likely(percent: int):
+def _likely(percent: int, rows: int, miss: float):
     """Pairs of two tiles (or of one) whose components differ, that can reach the threshold, and whose signatures nearly agree.
 
-    Where two linked sets share their first shingle in the common order, all
-    they have in common comes from there on; so a pair with too little left
-    behind this shingle is not linked, or meets at an earlier one.
+    A pair is judged where it meets first, at the rarest shingle it shares: all
+    that the two have in common comes from there on, so a pair with too little
+    left behind it is not linked.
     """
-    least = percent / 100 - MARGIN
+    t = percent / 100
+    least = t - MARGIN_ERRORS * math.sqrt(t * (1 - t) / (bands_for(percent, rows, miss) * rows))
 
     def run(group: pa.Table) -> pa.Table:
         doc, comp, tile, n, rank = (group.column(c).to_numpy() for c in ("doc", "comp", "tile", "n", "rank"))
         rest = n - rank + 1
+        before = [frozenset(x) for x in group.column("before").to_pylist()]
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(doc), -1)
         one, two = (group.column(c)[0].as_py() for c in ("low", "high"))
         left = np.flatnonzero(tile == one)
@@ -190,6 +197,8 @@ def _likely(percent: int):
             j = j[np.minimum(rest[j], rest[i]) * (100 + percent) >= percent * (n[j].astype(np.int64) + n[i])]
             if j.size:
                 j = j[(sig[j] == sig[i]).mean(1) >= least]
+                own = before[i]
+                j = j[[own.isdisjoint(before[x]) for x in j.tolist()]] if j.size else j
                 a.extend(np.minimum(doc[j], doc[i]).tolist())
                 b.extend(np.maximum(doc[j], doc[i]).tolist())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -248,10 +257,10 @@ def dedup(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, rows: int =
         prefixes.join(mixed.select("shingle", F.ceil(F.col("docs") / F.lit(TILE)).cast("int").alias("tiles")), "shingle")
         .withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("shingle", "doc", "comp", "n", "rank", "tile", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"))
+        .select("shingle", "doc", "comp", "n", "rank", "before", "tile", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"))
         .join(stand.select(F.col("doc_id").alias("doc"), "signature"), "doc")
     )
-    likely = left.groupBy("shingle", "low", "high").applyInArrow(_likely(percent), "a long, b long").distinct()
+    likely = left.groupBy("shingle", "low", "high").applyInArrow(_likely(percent, rows, miss), "a long, b long").distinct()
     links = first.unionByName(joint).unionByName(confirmed(likely, texts, percent, k))
 
     final = components(links)
