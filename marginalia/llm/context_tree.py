@@ -16,14 +16,15 @@ context that training has not seen hands its share to the one a byte shorter.
 Counting passes over every training text. Map tasks send the distinct strings
 of DEPTH + 1 bytes with their counts to shards by the two bytes nearest to the
 last; all longer contexts of these two are in the same shard, which so builds
-its part of the trees exactly, whatever the input. The model that goes to the
-scoring tasks has PLACES places of eight bytes: of nodes met twice or more those
-with the largest counts, told apart by a 16-bit tag; a node that isn't there
-counts as unseen.
+its part of the trees exactly, whatever the input. Words are counted on the way
+in the same shards by their hashes, for the base of `score`: add-one smoothing.
 
-`score` adds a base: word counts with add-one smoothing. Each bucket of
-documents asks shards of the word space for the counts of its distinct words,
-so a word in every document is one entry a bucket.
+Scoring goes to the counts. Each bucket of documents asks the shards for its
+distinct strings and words, so one in every document is one entry a bucket. A
+shard builds its trees again and answers with the strings' probabilities under
+all of its nodes; no table of nodes is sent anywhere, and no node is left out.
+Only the nodes of one byte of context and of none, whose sums come from all
+shards, are broadcast.
 
 Cases: null text is empty and is one end token; an empty table gives no rows;
 without training documents all bits have probability 1/2 and no word is
@@ -34,7 +35,7 @@ ignored.
 
 from __future__ import annotations
 
-import math
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -42,27 +43,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import LOWER, Words, batches, ids_of, ids_out, mix, pieces, shuffle_partitions, stored, text_buffers
-from marginalia.llm.substring_dedup import layout
 
 DEPTH = 5
-#: Places of the model's table, and nodes that are put into it at most.
-PLACES, NODES = 1 << 23, 4_000_000
-#: Nodes met less often hand their share to the shorter context.
-LEAST = 2
-UNIT = 1 << 24
+#: Count from which on a node takes part: all that training has met.
+LEAST = 1
 END = 0xFF
-#: Shards of the strings.
-SHARDS = 512
+#: Log of the number of shards at most; below it they are about as many as shuffle partitions.
+SHARD_BITS = 9
+#: Bytes of rows that a map task deals to buckets at a time.
+DEALT = 32 << 20
 #: Bytes of text that are scored at a time.
 PIECE = 2 << 20
 #: Distinct byte strings that a map task holds before it joins equal ones.
 HELD = 4 << 20
 
-STRINGS = "shard int, codes binary, counts binary"
-#: places, values, counts: the frequent nodes of depth 2 and more; sizes: how many nodes have a count of 2**k and more; the rest: sums for depth 1.
-TREES = "places binary, values binary, counts binary, sizes array<long>, near binary, zeros1 binary, ones1 binary, below1 binary"
-ASK = "shard int, bucket int, prints binary, counts binary"
-ANSWER = "shard int, bucket int, counts binary, tokens long, words long"
+#: Strings in ascending order and their counts, words' hashes and theirs, the sum of the latter and how many words there are.
+COUNTS = "shard int, codes binary, counts binary, words binary, times binary, total long, size long"
+NEAR = "near binary, zeros1 binary, ones1 binary, below1 binary"
+DOCS = "bucket int, ids binary, train binary, sizes binary, texts binary"
+ASK = "shard int, bucket int, codes binary, words binary"
+ANSWER = "shard int, bucket int, values binary, times binary"
 RESULT = "doc_id long, train boolean, n_tokens long, n_known long, known_log double, score double, n_bytes long"
 
 
@@ -109,56 +109,111 @@ def _joined(code: np.ndarray, count: np.ndarray | None) -> tuple[np.ndarray, np.
     return s[at], np.add.reduceat(count[order], at) if at.size else count[:0]
 
 
-def _count(it):
-    code, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    more: list = []
-    held = 0
-    for _, data, bounds in batches(it):
-        more.append(_joined(strings(data, bounds)[0], None))
-        held += more[-1][0].size
-        if held > HELD:
-            code, count = _joined(np.concatenate([code, *(c for c, _ in more)]), np.concatenate([count, *(n for _, n in more)]))
-            more, held = [], 0
-    code, count = _joined(np.concatenate([code, *(c for c, _ in more)]), np.concatenate([count, *(n for _, n in more)]))
-    shard = (mix((code >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(SHARDS)).astype(np.int32)
-    order = np.argsort(shard, kind="stable")
-    code, count, shard = code[order], count[order], shard[order]
-    for i, j in zip(b := np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))[: code.size].tolist(), [*b[1:], code.size]):
-        # Codes ascend, so their differences have few bytes and are packed well on the way.
-        blobs = (np.diff(code[i:j], prepend=np.uint64(0)).tobytes(), count[i:j].astype("<u8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([shard[i]], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=["shard", "codes", "counts"])
+def _sent(x: np.ndarray) -> bytes:
+    """The size of an array and its bytes, those of the same place in a number side by side and compressed."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
 
-def _sums(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Distinct keys in ascending order, sums of the values for each, and the order used."""
+def _got(blob: bytes, kind: str) -> np.ndarray:
+    size, wide = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(blob[8:], size, "zstd", asbytes=True) if size else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(wide, -1).T).view(kind).ravel()
+
+
+def _sent_codes(code: np.ndarray) -> bytes:
+    """Codes ascend, so their differences have few bytes."""
+    return _sent(np.diff(code, prepend=np.uint64(0)))
+
+
+def _got_codes(blob: bytes) -> np.ndarray:
+    return np.cumsum(_got(blob, "<u8"), dtype=np.uint64)
+
+
+def shard_of(code: np.ndarray, bits: int) -> np.ndarray:
+    """By the two bytes nearest to the last."""
+    return (mix((code >> np.uint64(8)) & np.uint64(0xFFFF)) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _by_key(key: np.ndarray):
+    """The order of the keys, and each key with its range in it."""
     order = np.argsort(key, kind="stable")
     s = key[order]
-    cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if s.size else np.zeros(0, np.int64)
-    return s[cut], [np.add.reduceat(v[order], cut) if cut.size else v[:0] for v in values], order
+    b = np.flatnonzero(np.append(True, s[1:] != s[:-1]))[: s.size].tolist()
+    return order, [(int(s[i]), i, j) for i, j in zip(b, [*b[1:], s.size])]
 
 
-def _merge(group: pa.Table) -> pa.Table:
-    """The distinct strings of a shard."""
-    codes = np.concatenate([np.cumsum(np.frombuffer(x, np.uint64), dtype=np.uint64) for x in group.column("codes").to_pylist()])
-    code, count = _joined(codes, np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u8"))
-    blobs = (np.diff(code, prepend=np.uint64(0)).tobytes(), count.astype("<u8").tobytes())
-    return pa.table([group.column("shard").slice(0, 1), *(pa.array([x], pa.binary()) for x in blobs)], names=["shard", "codes", "counts"])
+def _by_shard(code: np.ndarray, words: np.ndarray, bits: int):
+    """The order of the strings by shards, and for each shard the ranges of its strings and its words; words' hashes ascend and have their shard in front."""
+    order, ranges = _by_key(shard_of(code, bits))
+    cut = np.searchsorted(words >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
+    at = {k: (i, j) for k, i, j in ranges}
+    return order, [(k, *at.get(k, (0, 0)), cut[k], cut[k + 1]) for k in range(1 << bits) if k in at or cut[k] < cut[k + 1]]
+
+
+class _Counter:
+    """Distinct values with their counts, in ascending order."""
 
+    def __init__(self):
+        self.code, self.count, self.more, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
-def _trees(least: float):
-    """The nodes of all contexts of two bytes and more that lie in a shard, and have a count of `least` at least."""
+    def add(self, code: np.ndarray, count: np.ndarray | None = None) -> None:
+        self.more.append(_joined(code, count))
+        self.held += self.more[-1][0].size
+        if self.held > HELD:
+            self.join()
 
+    def join(self) -> tuple[np.ndarray, np.ndarray]:
+        self.code, self.count = _joined(np.concatenate([self.code, *(c for c, _ in self.more)]), np.concatenate([self.count, *(n for _, n in self.more)]))
+        self.more, self.held = [], 0
+        return self.code, self.count
+
+
+def _count(shard_bits: int):
     def run(it):
-        for b in it:
-            for codes, counts in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist()):
-                yield _shard_trees(np.cumsum(np.frombuffer(codes, np.uint64), dtype=np.uint64), np.frombuffer(counts, "<u8").astype(np.float64), least)
+        codes, prints = _Counter(), _Counter()
+        for _, data, bounds in batches(it):
+            codes.add(strings(data, bounds)[0])
+            prints.add(Words(LOWER[data], bounds).hashes())
+        (code, count), (words, times) = codes.join(), prints.join()
+        order, ranges = _by_shard(code, words, shard_bits)
+        code, count = code[order], count[order]
+        for shard, i, j, v, w in ranges:
+            yield pa.RecordBatch.from_pydict(_counts_row(shard, code[i:j], count[i:j], words[v:w], times[v:w]), _COUNTS)
 
     return run
 
 
-def _shard_trees(code: np.ndarray, count: np.ndarray, least: float) -> pa.RecordBatch:
-    above = np.uint64(1 << 56) - np.uint64(1)
-    keys, counts, ones, owns, sizes = [], [], [], [], np.zeros(50, np.int64)
+_COUNTS = pa.schema([("shard", pa.int32()), *[(x, pa.binary()) for x in ("codes", "counts", "words", "times")], ("total", pa.int64()), ("size", pa.int64())])
+
+
+def _counts_row(shard: int, code: np.ndarray, count: np.ndarray, words: np.ndarray, times: np.ndarray) -> dict[str, list]:
+    blobs = {"codes": _sent_codes(code), "counts": _sent(count.astype("<u8")), "words": _sent_codes(words), "times": _sent(times.astype("<u8"))}
+    return {"shard": [shard], **{k: [x] for k, x in blobs.items()}, "total": [int(times.sum())], "size": [words.size]}
+
+
+def _sums(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct keys in ascending order, sums of the values for each, and the order used."""
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if s.size else np.zeros(0, np.int64)
+    return s[cut], [np.add.reduceat(v[order], cut) if cut.size else v[:0] for v in values], order
+
+
+def _merge(group: pa.Table) -> pa.Table:
+    """The distinct strings and words of a shard."""
+    merged = []
+    for codes, counts in (("codes", "counts"), ("words", "times")):
+        counter = _Counter()
+        for x, n in zip(group.column(codes).to_pylist(), group.column(counts).to_pylist()):
+            counter.add(_got_codes(x), _got(n, "<u8").astype(np.int64))
+        merged += counter.join()
+    return pa.Table.from_pydict(_counts_row(group.column("shard")[0].as_py(), *merged), _COUNTS)
+
+
+def levels(code: np.ndarray, count: np.ndarray):
+    """Depth, keys, zeros, ones, weights of their own estimates and weighted probabilities of the nodes of all contexts of two bytes and more in a shard, the longest first."""
+    count = count.astype(np.float64)
     # Of the depth before: the nodes' keys without their farthest byte, and their weighted probabilities.
     up = total = None
     for depth in range(DEPTH, 1, -1):
@@ -171,19 +226,24 @@ def _shard_trees(code: np.ndarray, count: np.ndarray, least: float) -> pa.Record
             children = np.bincount(np.searchsorted(key, up), total, key.size)
             total = np.logaddexp(kt, children) - np.log(2)
             own = np.exp(np.minimum(0.0, kt - np.log(2) - total))
+        yield depth, key, n - n1, n1, own, total
         up = key & np.uint64((1 << 8 * depth) - 1) | np.uint64((depth - 1) << 60)
-        sizes += [int((n >= max(LEAST, 2**k)).sum()) for k in range(50)]
-        use = n >= max(LEAST, least)
-        for held, x in zip((keys, counts, ones, owns), (key, n, (n1 + 0.5) / (n + 1), own)):
-            held.append(x[use])
         if depth > 2:
             # Strings with the same bytes up to the next depth are one from here on.
             code, (count,), _ = _sums(code & np.uint64((1 << 8 * depth) - 1), [count])
-    near, (zeros1, ones1, below1), _ = _sums(up & above, [n - n1, n1, total])
-    blobs = packed(*map(np.concatenate, (keys, counts, ones, owns)))
-    kinds = [pa.binary()] * 3 + [pa.list_(pa.int64())] + [pa.binary()] * 4
-    cells = [*(x.tobytes() for x in blobs), sizes, near.tobytes(), *(x.astype("<f8").tobytes() for x in (zeros1, ones1, below1))]
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(cells, kinds)], names=[x.split()[0] for x in TREES.split(", ")])
+
+
+def _near(it):
+    """Of each shard, the sums over its nodes of two bytes of context for those of one."""
+    for b in it:
+        for codes, counts in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist()):
+            code = _got_codes(codes)
+            if not code.size:
+                continue
+            for _, key, zeros, ones, _, total in levels(code, _got(counts, "<u8")):
+                pass
+            near, sums, _ = _sums(key & np.uint64(0xFFFF), [zeros, ones, total])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (near, *sums)], names=["near", "zeros1", "ones1", "below1"])
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -200,66 +260,42 @@ def block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1.0)
 
 
-def packed(keys: np.ndarray, counts: np.ndarray, ones: np.ndarray, owns: np.ndarray) -> list[np.ndarray]:
-    """Each node's place in the table, its eight bytes there, and its count."""
-    place, tag = _place(mix(keys >> np.uint64(8)), keys & np.uint64(0xFF))
-    one = np.clip(np.rint(ones * UNIT), 1, UNIT - 1).astype(np.uint64)
-    own = np.clip(np.rint(owns * UNIT), 0, UNIT - 1).astype(np.uint64)
-    return [place.astype("<u4"), (tag << np.uint64(48) | one << np.uint64(24) | own).astype("<u8"), counts.astype("<f4")]
-
-
-class Model:
-    """A table of nodes, eight bytes each: a tag of 16 bits (0 is empty), and 24 bits each for the probability of a one and the weight of the node's own estimate."""
-
-    def __init__(self, places: np.ndarray, values: np.ndarray, counts: np.ndarray):
-        """Where two nodes meet in a place, the one with the larger count has it."""
-        self.places = np.zeros(PLACES, np.uint64)
-        order = np.argsort(counts, kind="stable")
-        self.places[places[order]] = values[order]
-
-    def find(self, context: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether the nodes of hashed contexts are there, their probabilities and weights."""
-        place, tag = _place(context, node)
-        held = self.places[place]
-        low = np.uint64(UNIT - 1)
-        return held >> np.uint64(48) == tag, ((held >> np.uint64(24)) & low) * (1 / UNIT), (held & low) * (1 / UNIT)
-
-
-def _place(context: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = (context ^ node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(65 - PLACES.bit_length())).view(np.int64), (h >> np.uint64(16)) & np.uint64(0xFFFF) | np.uint64(1)
-
-
-def shallow(near: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> list[np.ndarray]:
-    """keys, counts, ones, owns of the nodes of one byte of context and of none, from the sums for the former."""
+def shallow(near: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> list[tuple]:
+    """Depth, keys, ones and weights of the nodes of one byte of context and of none, from the sums for the former."""
     key, (n0, n1, children), _ = _sums(near, [zeros, ones, below])
-    keys, counts, p, owns = [], [], [], []
+    out = []
     for depth in (1, 0):
         kt = block(n0, n1)
         total = np.logaddexp(kt, children) - np.log(2)
-        keys.append(key | np.uint64(depth << 60))
-        counts.append(np.full(key.size, np.inf))  # these stay in any case
-        p.append((n1 + 0.5) / (n0 + n1 + 1))
-        owns.append(np.exp(np.minimum(0.0, kt - np.log(2) - total)))
+        out.append((depth, key | np.uint64(depth << 60), (n1 + 0.5) / (n0 + n1 + 1), np.exp(np.minimum(0.0, kt - np.log(2) - total))))
         key, (n0, n1, children), _ = _sums(key & np.uint64(0xFF), [n0, n1, total])
-    return [np.concatenate(x) for x in (keys, counts, p, owns)]
+    return out
+
+
+class Model:
+    """The counts of all strings and words in shards, and the nodes of one byte of context and of none."""
+
+    def __init__(self, counts: DataFrame, top: list[tuple], shard_bits: int):
+        self.counts, self.top, self.shard_bits = counts, top, shard_bits
+        self._shards: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def shard(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A shard's codes and counts, for looking up a few strings."""
+        if k not in self._shards:
+            row = self.counts.where(F.col("shard") == k).first()
+            self._shards[k] = (_got_codes(row["codes"]), _got(row["counts"], "<u8")) if row else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        return self._shards[k]
 
 
 def fit(docs: DataFrame) -> Model:
     """The model of all texts of docs."""
-    partial = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count, STRINGS)
-    merged = stored(partial.groupBy("shard").applyInArrow(_merge, STRINGS), "strings")
-    # How many nodes there are of each size decides which go into the table; then the trees are built again for these.
-    sizes = merged.mapInArrow(_trees(math.inf), TREES).select(F.posexplode("sizes").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
-    least = next((2 ** r["k"] for r in sizes if r["n"] <= NODES), LEAST)
-    # At most NODES nodes of 16 bytes, whatever the input, and for each shard its sums for depth 1.
-    deep = merged.mapInArrow(_trees(least), TREES).drop("sizes").toArrow()
-    nodes = [_bytes_of(deep.column(c), kind) for c, kind in (("places", "<u4"), ("values", "<u8"), ("counts", "<f4"))]
-    sums = [_bytes_of(deep.column(c), kind) for c, kind in (("near", "<u8"), ("zeros1", "<f8"), ("ones1", "<f8"), ("below1", "<f8"))]
-    del deep
-    return Model(*(np.concatenate(x) for x in zip(nodes, packed(*shallow(*sums)))))
+    shard_bits = max(2, min(SHARD_BITS, (shuffle_partitions(docs.sparkSession) - 1).bit_length()))
+    partial = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count(shard_bits), COUNTS)
+    counts = stored(partial.groupBy("shard").applyInArrow(_merge, COUNTS), "counts")
+    # For each shard its sums for depth 1.
+    near = counts.select("codes", "counts").mapInArrow(_near, NEAR).toArrow()
+    sums = [_bytes_of(near.column(c), kind) for c, kind in (("near", "<u8"), ("zeros1", "<f8"), ("ones1", "<f8"), ("below1", "<f8"))]
+    return Model(counts, shallow(*sums), shard_bits)
 
 
 def _bytes_of(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -268,116 +304,152 @@ def _bytes_of(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def log10_probabilities(model: Model, code: np.ndarray) -> np.ndarray:
-    """Of the last byte of each string after the bytes before it."""
-    out = np.zeros(code.size)
-    contexts = [mix(key_of(depth, code, np.uint64(0)) >> np.uint64(8)) for depth in range(DEPTH + 1)]
-    for k, (node, bit) in enumerate(_bits(code)):
-        # Codes in a row with the same bytes and the same bits so far share this decision.
-        same = code >> np.uint64(8 - k)
-        new = np.append(True, same[1:] != same[:-1])
-        own_node = node[new]
-        p, known = np.full(own_node.size, 0.5), np.zeros(own_node.size, bool)
-        for depth in range(DEPTH, -1, -1):
-            found, one, own = model.find(contexts[depth][new], own_node)
+def probabilities(code: np.ndarray, count: np.ndarray, top: list[tuple], asked: np.ndarray) -> np.ndarray:
+    """log10 probabilities of the last bytes of strings of a shard, which are distinct and ascend, from the shard's counts and the top nodes."""
+    decisions = []
+    for k, (node, bit) in enumerate(_bits(asked)):
+        # Strings in a row with the same bytes and the same bits so far share this decision.
+        same = asked >> np.uint64(8 - k)
+        new = np.append(True, same[1:] != same[:-1])[: asked.size]
+        decisions.append((asked[new], node[new], np.full(int(new.sum()), 0.5), np.zeros(int(new.sum()), bool), np.cumsum(new) - 1, bit))
+    deep = ((depth, key, (n1 + 0.5) / (n0 + n1 + 1), own) for depth, key, n0, n1, own, _ in levels(code, count)) if code.size else ()
+    for depth, keys, ones, owns in itertools.chain(deep, top):
+        if not keys.size:
+            continue
+        for own_code, node, p, known, _, _ in decisions:
+            want = key_of(depth, own_code, node)
+            at = np.minimum(np.searchsorted(keys, want), keys.size - 1)
+            found = keys[at] == want
             # The longest context that is there stands alone; each shorter one takes its weight of the mixture.
-            own[~known] = 1.0
-            own *= found
-            one -= p
-            one *= own
-            p += one
+            own = np.where(known, owns[at], 1.0) * found
+            p += own * (ones[at] - p)
             known |= found
-        one = p[np.cumsum(new) - 1]
+    out = np.zeros(asked.size)
+    for _, _, p, _, which, bit in decisions:
+        one = p[which]
         out += np.log10(np.where(bit > 0, one, 1 - one))
     return out
 
 
-def text_scores(model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """log10 probability of each whole text."""
-    code, begin = strings(data, bounds)
-    if not code.size:
-        return np.zeros(0)
-    order = np.argsort(code)
-    s = code[order]
-    new = np.append(True, s[1:] != s[:-1])
-    value = np.empty(code.size)
-    value[order] = log10_probabilities(model, s[new])[np.cumsum(new) - 1]
-    return np.add.reduceat(value, begin)
+def log10_probabilities(model: Model, code: np.ndarray) -> np.ndarray:
+    """Of the last byte of each of a few strings after the bytes before it."""
+    out, (order, ranges) = np.zeros(code.size), _by_key(shard_of(code, model.shard_bits))
+    for k, i, j in ranges:
+        asked, back = np.unique(code[order[i:j]], return_inverse=True)
+        out[order[i:j]] = probabilities(*model.shard(k), model.top, asked)[back]
+    return out
 
 
-def _distinct(words: Words, drop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct word hashes in ascending order, and the number of each word among them."""
-    h = words.hashes() >> np.uint64(drop)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.append(True, s[1:] != s[:-1]) if s.size else np.zeros(0, bool)
-    which = np.empty(h.size, np.int64)
-    which[order] = np.cumsum(new) - 1
-    return s[new], which
+def _deal(it):
+    """The rows of each bucket that a map task has at a time, as one row."""
 
+    def cut(held):
+        rows = pa.Table.from_batches(held)
+        order, ranges = _by_key(rows.column("bucket").to_numpy())
+        rows = rows.take(pa.array(order))
+        ids, train = ids_of(rows.column("doc_id")), rows.column("train").to_numpy().astype(np.uint8)
+        data, bounds = text_buffers(rows.column("text"))
+        cells = [(k, ids[i:j].tobytes(), train[i:j].tobytes(), np.diff(bounds[i : j + 1]).tobytes(), _sent(data[bounds[i] : bounds[j]])) for k, i, j in ranges]
+        kinds = (pa.int32(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells), kinds)], names=["bucket", "ids", "train", "sizes", "texts"])
+
+    held, size = [], 0
+    for b in it:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size > DEALT:
+            yield cut(held)
+            held, size = [], 0
+    if held:
+        yield cut(held)
 
-def _ask(shard_bits: int):
-    width, below, drop = layout(shard_bits)
 
+def _docs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sides, bytes and bounds of the documents of a bucket."""
+    ids, train, sizes = (np.frombuffer(b"".join(group.column(c).to_pylist()), k) for c, k in (("ids", np.int64), ("train", bool), ("sizes", np.int64)))
+    return ids, train, np.concatenate([_got(x, "u1") for x in group.column("texts").to_pylist()]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _distinct_strings(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    counter = _Counter()
+    for i, j in pieces(bounds, PIECE):
+        counter.add(strings(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])[0])
+    return counter.join()[0]
+
+
+def _ask(shard_bits: int):
     def run(group: pa.Table) -> pa.Table:
-        data, bounds = text_buffers(group.column("text"))
-        words = Words(LOWER[data], bounds)
-        prints, which = _distinct(words, drop)
-        train = group.column("train").to_numpy()[words.doc]
-        count = np.bincount(which[train], minlength=prints.size)
-        cut = np.append(np.searchsorted(prints, np.arange(1 << shard_bits, dtype=np.uint64) << np.uint64(below)), prints.size)
-        bucket = group.column("bucket")[0].as_py()
-        rows = [
-            (k, bucket, np.ascontiguousarray(prints[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes(), count[i:j].astype("<u4").tobytes())
-            for k, (i, j) in enumerate(zip(cut, cut[1:]))
-            if i < j
-        ]
+        _, _, data, bounds = _docs(group)
+        code, words = _distinct_strings(data, bounds), np.unique(Words(LOWER[data], bounds).hashes())
+        order, ranges = _by_shard(code, words, shard_bits)
+        code, bucket = code[order], group.column("bucket")[0].as_py()
+        rows = [(k, bucket, _sent_codes(code[i:j]), _sent_codes(words[v:w])) for k, i, j, v, w in ranges]
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["shard", "bucket", "prints", "counts"])
+        return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["shard", "bucket", "codes", "words"])
 
     return run
 
 
-def _answer(group: pa.Table, width: int) -> pa.Table:
-    """Each word's count over all buckets, in the order asked; the first row carries the shard's tokens and words."""
-    sizes = [len(x) // width for x in group.column("prints").to_pylist()]
-    wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :width] = np.frombuffer(b"".join(group.column("prints").to_pylist()), np.uint8).reshape(-1, width)
-    h, n = wide.view("<u8").ravel(), np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4").astype(np.int64)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.append(True, s[1:] != s[:-1])
-    total = np.add.reduceat(n[order], np.flatnonzero(new))
-    count = np.empty(h.size, "<i8")
-    count[order] = total[np.cumsum(new) - 1]
-    at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-    rest = [0] * (len(sizes) - 1)
-    return pa.table(
-        [group.column("shard"), group.column("bucket"), pa.array([count[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()), pa.array([int(total.sum()), *rest]), pa.array([int((total > 0).sum()), *rest])],
-        names=["shard", "bucket", "counts", "tokens", "words"],
-    )
+def _answer(top):
+    """The probability of each string asked for, and the count of each word, in the order asked."""
+
+    def run(asks: pa.Table, counts: pa.Table) -> pa.Table:
+        values: list[bytes] = []
+        times: list[bytes] = []
+        if asks.num_rows:
+            code = count = words = of_words = np.zeros(0, np.uint64)
+            if counts.num_rows:
+                blobs = {c: counts.column(c)[0].as_py() for c in ("codes", "counts", "words", "times")}
+                code, count, words, of_words = _got_codes(blobs["codes"]), _got(blobs["counts"], "<u8"), _got_codes(blobs["words"]), _got(blobs["times"], "<u8")
+            every, asked_codes = _Counter(), asks.column("codes").to_pylist()
+            for x in asked_codes:
+                every.add(_got_codes(x))
+            asked = every.join()[0]
+            value = probabilities(code, count, top.value, asked).astype("<f4")
+            values = [_sent(value[np.searchsorted(asked, _got_codes(x))]) for x in asked_codes]
+            words, of_words = np.append(words, np.uint64(2**64 - 1)), np.append(of_words, np.uint64(0))
+            for x in map(_got_codes, asks.column("words").to_pylist()):
+                at = np.searchsorted(words, x)
+                times.append(_sent(np.where(words[at] == x, of_words[at], np.uint64(0))))
+        blobs = (pa.array(x, pa.binary()) for x in (values, times))
+        return pa.table([asks.column("shard"), asks.column("bucket"), *blobs], names=["shard", "bucket", "values", "times"])
 
+    return run
 
-def _score(shared, shard_bits: int):
-    drop = layout(shard_bits)[2]
 
+def text_scores(asked: np.ndarray, values: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """log10 probability of each whole text, from those of its distinct strings."""
+    code, begin = strings(data, bounds)
+    order = np.argsort(code)
+    s = code[order]
+    new = np.append(True, s[1:] != s[:-1])
+    value = np.empty(code.size)
+    value[order] = values[np.searchsorted(asked, s[new])][np.cumsum(new) - 1]
+    return np.add.reduceat(value, begin)
+
+
+def _score(shard_bits: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
         names = ["doc_id", "train", "n_tokens", "n_known", "known_log", "score", "n_bytes"]
         if not docs.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        data, bounds = text_buffers(docs.column("text"))
-        words = Words(LOWER[data], bounds)
-        prints, which = _distinct(words, drop)
-        order = np.argsort(answers.column("shard").to_numpy())
-        blobs = answers.column("counts").to_pylist()
-        count = np.frombuffer(b"".join(blobs[i] for i in order.tolist()), "<i8")[which]
-        n = docs.num_rows
-        scores = np.concatenate([text_scores(shared.value, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in pieces(bounds, PIECE)])
+        ids, train, data, bounds = _docs(docs)
+        in_order = np.argsort(answers.column("shard").to_numpy()).tolist()
+        values, times = answers.column("values").to_pylist(), answers.column("times").to_pylist()
+
+        asked = _distinct_strings(data, bounds)
+        value = np.empty(asked.size)
+        value[np.argsort(shard_of(asked, shard_bits), kind="stable")] = np.concatenate([_got(values[i], "<f4") for i in in_order])
+        scores = np.concatenate([text_scores(asked, value, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in pieces(bounds, PIECE)])
+
+        words, n = Words(LOWER[data], bounds), ids.size
+        count = np.concatenate([_got(times[i], "<u8") for i in in_order])[np.unique(words.hashes(), return_inverse=True)[1]]
         known = np.bincount(words.doc, count > 0, n).astype(np.int64)
         logs = np.bincount(words.doc, np.log10(count + 1.0), n)
-        out = (ids_out(ids_of(docs.column("doc_id"))), docs.column("train"), np.diff(words.first) + 1, known, logs, scores, np.diff(bounds))
-        return pa.table([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(out, kinds)], names=names)
+        out = (ids_out(ids), train, np.diff(words.first) + 1, known, logs, scores, np.diff(bounds))
+        return pa.table([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, kinds)], names=names)
 
     return run
 
@@ -389,20 +461,17 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    model = spark.sparkContext.broadcast(fit(rows.where("train")))
+    model = fit(rows.where("train"))
     ends = rows.where("train").count()
-
-    parts = shuffle_partitions(spark)
-    shard_bits = max(2, min(30, (parts - 1).bit_length()))
-    width = layout(shard_bits)[0]
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(4 * parts)).cast("int")
-    dealt = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "train", place.alias("bucket"))
-    asks = dealt.groupBy("bucket").applyInArrow(_ask(shard_bits), ASK)
-    answers = stored(asks.groupBy("shard").applyInArrow(lambda g: _answer(g, width), ANSWER), "word-counts")
-    total = answers.agg(F.sum("tokens"), F.sum("words")).first()
+    total = model.counts.agg(F.sum("total"), F.sum("size")).first()
     tokens, words = (total[0] or 0) + ends, (total[1] or 0) + (ends > 0)
 
-    scored = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(model, shard_bits), RESULT)
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(4 * shuffle_partitions(spark))).cast("int")
+    dealt = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "train", place.alias("bucket")).mapInArrow(_deal, DOCS)
+    asks = dealt.groupBy("bucket").applyInArrow(_ask(model.shard_bits), ASK)
+    counts = model.counts.select("shard", "codes", "counts", "words", "times")
+    answers = asks.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(_answer(spark.sparkContext.broadcast(model.top)), ANSWER)
+    scored = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(model.shard_bits), RESULT)
     base = F.col("known_log") + F.lit(float(np.log10(ends + 1.0))) - F.col("n_tokens") * F.lit(float(np.log10(tokens + 1.0 * (words + 1))))
     return scored.select(
         "doc_id",

@@ -481,6 +481,13 @@ def test_model_equals_trees_by_hand(spark):
         assert got == pytest.approx(want, abs=1e-3)
 
 
+def test_contexts_met_once_count(spark):
+    model = context_tree.fit(spark.createDataFrame([("aaex",), ("bbey",)], "text string"))
+    seen, other = context_tree.log10_probabilities(model, np.array([int.from_bytes(b"\xff\xffaae" + x, "big") for x in (b"x", b"y")], np.uint64))
+    # x and y differ in the last bit alone: 3/4 in contexts of two bytes and more, which one byte (weight 1/3) and none (2/5) draw towards 1/2.
+    assert seen - other == pytest.approx(math.log10(0.6 / 0.4))
+
+
 def test_scores(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in queries.op8_context_tree(spark, sf).collect()}
