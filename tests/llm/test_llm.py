@@ -488,6 +488,45 @@ def test_contexts_met_once_count(spark):
     assert seen - other == pytest.approx(math.log10(0.6 / 0.4))
 
 
+def test_every_node_is_found(spark):
+    """In a table of millions of nodes, each string of some contexts has the probability of trees from dictionaries."""
+    texts = [r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    model = context_tree.fit(table(spark, "/root/testdata/sf0.01", "documents"))
+    data = b"".join(b"\xff" * 5 + re.sub("[A-Z]+", lambda m: m[0].lower(), t or "").encode() + b"\xff" for t in texts)
+    top = [dict(zip(keys.tolist(), zip(one.tolist(), own.tolist()))) for _, keys, one, own in model.top]
+    for near in (b"qu", b"ie"):
+        runs = collections.Counter(data[m.start() - 3 : m.start() + 3] for m in re.finditer(b"(?=" + near + b")", data))
+        counts = collections.Counter()
+        for run, n in runs.items():
+            for k in range(8):
+                for d in range(2, 6):
+                    counts[run[5 - d : 5], (1 << k) | (run[5] >> (8 - k)), run[5] >> (7 - k) & 1] += n
+        nodes = sorted({(c, u) for c, u, _ in counts}, key=lambda x: -len(x[0]))
+        n0, n1 = (np.array([counts[*x, b] * 1.0 for x in nodes]) for b in (0, 1))
+        kt = dict(zip(nodes, context_tree.block(n0, n1).tolist()))
+        below, total = collections.Counter(), {}
+        for c, u in nodes:
+            total[c, u] = kt[c, u] if len(c) == 5 else np.logaddexp(kt[c, u], below[c, u]) - math.log(2)
+            below[c[1:], u] += total[c, u]
+        want = []
+        for run in runs:
+            log = 0.0
+            for k in range(8):
+                u, bit = (1 << k) | (run[5] >> (8 - k)), run[5] >> (7 - k) & 1
+                p = 0.5
+                for d in range(5, 1, -1):
+                    c = run[5 - d : 5]
+                    own = math.exp(kt[c, u] - math.log(2) - total[c, u]) if d < 5 else 1.0
+                    p += own * ((counts[c, u, 1] + 0.5) / (counts[c, u, 0] + counts[c, u, 1] + 1) - p)
+                for d, nodes_of in zip((1, 0), top):
+                    one, own = nodes_of[d << 60 | (run[4] << 8 if d else 0) | u]
+                    p += own * (one - p)
+                log += math.log10(p if bit else 1 - p)
+            want.append(log)
+        got = context_tree.log10_probabilities(model, np.array([int.from_bytes(x, "big") for x in runs], np.uint64))
+        assert len(runs) > 300 and np.allclose(got, want, atol=1e-6)
+
+
 def test_scores(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in queries.op8_context_tree(spark, sf).collect()}
