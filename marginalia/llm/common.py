@@ -1,20 +1,22 @@
 """What the text operators share: word arrays, hashes, buckets and tables that cut lineage.
 
 A word is `[^\\x20\\x09-\\x0D]+` of the UTF-8 text. Words and windows of words
-are handled as numpy arrays over the bytes of many documents at once; a hash
-of a word is a polynomial over its bytes, one of a window a polynomial over
-its words' hashes, both finished by a 64-bit mixer.
+are handled as numpy arrays over the bytes of many documents at once. A word's
+hash takes in eight bytes at a time, each step a bijection on 64 bits (words of
+more than LONG_WORD bytes go through BLAKE2b); a window's hash takes in its
+words' hashes in the same way.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one pass of the array code takes on at a time.
@@ -27,8 +29,9 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_BASE, _WINDOW = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_STEP, _WINDOW = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Bytes of a word from which on it is hashed by itself.
+LONG_WORD = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = found.get() if found.isDefined() else "/tmp/checkpoints/marginalia"
+        if not found.isDefined():
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            return "/tmp/checkpoints/marginalia"  # one machine, so it is shared
+        at = found.get()
     return at
 
 
@@ -49,7 +56,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `stored` gave and that nothing will read again."""
+    for t in tables:
+        drop_path(t.sparkSession, t.stored_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -57,6 +72,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in itertools.chain([name], (f"{name}_{k}" for k in itertools.count())) if x.lower() not in taken)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -72,19 +93,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse mod 2**64, for i below n at least."""
-    if not _powers or _powers[0][0].size < n:
-        size = n + (1 << 19)
-        out = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            out.append(np.cumprod(a, dtype=np.uint64))
-        _powers[0] = (out[0], out[1])
-    return _powers[0]
-
-
 class Words:
     """The words of some documents as arrays.
 
@@ -109,12 +117,25 @@ class Words:
         self.first = np.searchsorted(self.start, bounds)
         self.doc = np.repeat(np.arange(bounds.size - 1), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        up, down = powers(self.data.size + 1)
-        total = np.zeros(self.data.size + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: self.data.size], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(_WINDOW))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each word, of a family by seed."""
+        size = self.end - self.start
+        # The eight bytes from each place on as a number.
+        near = np.ndarray(self.data.size + 1, "<u8", np.append(self.data, np.zeros(9, np.uint8)).tobytes(), 0, (1,))
+        h = mix(size.astype(np.uint64) * np.uint64(_STEP) + np.uint64(seed * _WINDOW % (1 << 64)))
+        own, at, left = slice(None), self.start, size
+        while at.size:
+            v = near[at]
+            short = left < 8
+            v[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            h[own] = mix((h[own] ^ v) * np.uint64(_STEP))
+            more = (left > 8) & (size[own] <= LONG_WORD)
+            own = np.arange(size.size)[own][more]
+            at, left = at[more] + 8, left[more] - 8
+        long = np.flatnonzero(size > LONG_WORD)
+        for k, i, j in zip(long.tolist(), self.start[long].tolist(), self.end[long].tolist()):
+            h[k] = int.from_bytes(hashlib.blake2b(self.data[i:j].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+        return h
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of each window of k words that lies in one document."""
@@ -122,10 +143,11 @@ class Words:
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         at = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
-        h, q = np.zeros(n, np.uint64), 1
+        h = np.full(n, k, np.uint64)
         for j in range(k):
-            h += hashes[j : j + n] * np.uint64(q)
-            q = q * _WINDOW % (1 << 64)
+            h ^= hashes[j : j + n]
+            h *= np.uint64(_WINDOW)
+            h ^= h >> np.uint64(32)
         return mix(h[at]), at
 
 
@@ -159,33 +181,37 @@ def ids_out(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NO_ID)
 
 
-def pieces(bounds: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about limit bytes; a longer document stands alone."""
+def pieces(bounds: np.ndarray, limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about limit bytes, and of so many rows at most; a longer document stands alone."""
     n, at = bounds.size - 1, 0
     while at < n:
         to = int(np.searchsorted(bounds, bounds[at] + limit, side="right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), n, at + (rows or n))
         yield at, to
         at = to
 
 
-def batches(it: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def batches(it: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of record batches with their text's bytes and offsets."""
     for b in it:
         data, bounds = text_buffers(b.column("text"))
-        for i, j in pieces(bounds, limit):
+        for i, j in pieces(bounds, limit, rows):
             yield b.slice(i, j - i), data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
 
 
 def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, text and a bucket that depends on doc_id alone."""
+    """doc_id, text and a bucket by a hash of both, so that rows without an id or with one in common are dealt out too."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(buckets)).cast("int").alias("bucket"),
+        bucket_of(buckets).alias("bucket"),
     )
 
 
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(buckets)).cast("int")
+
+
 def crc_of_ids(ids: np.ndarray) -> np.ndarray:
     """crc32 of each id's decimal text; a missing id's text is empty."""
     import zlib

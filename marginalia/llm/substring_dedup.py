@@ -17,8 +17,9 @@ over buckets of documents (dealt out once, by doc_id):
    through them, and at each hit checks the windows around it against the
    passages' own windows, word for word.
 
-Fingerprints have 56 bits and the shard's number, at most 64; they only
-nominate. What is removed has been found as text.
+Fingerprints have 64 bits and only nominate: what is removed has been found as
+text. Of two windows with one fingerprint (less than one pair is to be expected
+in five billion windows) only the earlier's text is sent.
 
 Cases: null or empty text has no words and the digest of nothing; documents
 under WINDOW words lose none; windows that repeat in their own document only
@@ -41,8 +42,8 @@ from marginalia.llm.common import Words, bucketed, ids_of, ids_out, shuffle_part
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
-#: Bytes of a fingerprint sent to a shard; its number adds the rest, up to 8 bits, beyond which all 8 bytes are sent.
-WIDTH = 7
+#: Bits of a fingerprint; a shard's number is its first ones.
+BITS = 64
 #: Pattern bytes of one automaton; a bucket with more passages uses several, one after the other.
 AUTOMATON_BYTES = 2 << 20
 
@@ -73,9 +74,8 @@ def _prints(words: Words, k: int, drop: int) -> tuple[np.ndarray, np.ndarray, np
 
 def layout(shard_bits: int) -> tuple[int, int, int]:
     """Bytes sent, bits below the shard's number, and bits of a hash that are dropped."""
-    width = WIDTH if shard_bits <= 8 else 8
-    kept = min(64, 8 * width + shard_bits)
-    return width, kept - shard_bits, 64 - kept
+    below = BITS - shard_bits
+    return -(-below // 8), below, 64 - BITS
 
 
 def _ask(k: int, shard_bits: int):
