@@ -13,11 +13,14 @@ threshold is missed with a probability under MISS.
 3. Documents of bands that still hold several components are loose. Two of
    them can reach the threshold only if they share one of the rarest shingles
    of each (the prefix of its set in the order of document counts, as long as
-   the threshold allows differences). Loose documents of different components
-   that share such a shingle are compared by signature, in tiles of TILE
-   documents, then the likely pairs on full sets. Copies with many edits have
-   rare shingles of their own and meet no one; those with few edits have been
-   linked to the hub. No group is spelled out in pairs.
+   the threshold allows differences); copies with many edits have rare
+   shingles of their own and meet no one. Loose documents that share such a
+   shingle with another component meet in their open bands, in tiles of
+   TILE_DOCS documents. A tile counts the intersections of all their sets by
+   postings, and gives a spanning forest of the components that it links, so
+   that a group of any size sends fewer links than it has documents.
+4. The links of the forests are confirmed on the texts. If one is not, which
+   takes a collision of hashes, the tiles run again with another hash.
 
 Components come from alternating large-star and small-star steps, with a
 table in the shared folder after each; nothing is gathered on the driver.
@@ -40,29 +43,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import LOWER, Words, batches, mix, stored
+from marginalia.llm.common import LOWER, Words, batches, mix, release, stored
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 80
 ROWS = 5
 MISS = 1e-6
-TILE = 500
-#: Signatures that agree in a share so many standard errors below the threshold are not compared further (one pair in some millions).
-MARGIN_ERRORS = 5
+#: Documents of one side of a tile, about, and shingles of all their sets.
+TILE_DOCS, TILE_SHINGLES = 1000, 1 << 20
+#: Shingles that so many documents of a tile have are counted by matrices, others pair by pair.
+COMMON = 64
 
-SIGNATURES = "doc_id long, n_shingles long, sequence binary, bands array<long>, signature binary"
+SIGNATURES = "doc_id long, n_shingles long, sequence binary, bands array<long>"
+SETS = "doc long, comp long, key long, n int, rare array<long>, shingles array<long>"
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows)))
 
 
-def _signatures(bands: int, rows: int, k: int):
-    permutations = (bands * rows + 1) // 2
+def signature_values(h: np.ndarray, first: np.ndarray, permutations: int) -> np.ndarray:
+    """The least and the largest value of each set under each permutation; the sets lie in h one after the other."""
     rng = np.random.default_rng(20240229)
     factor = rng.integers(0, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     offset = rng.integers(0, 1 << 63, permutations, dtype=np.uint64)
+    values = np.zeros((first.size, 2 * permutations), np.uint64)
+    for p in range(permutations if first.size else 0):
+        v = h * factor[p] + offset[p]
+        v ^= v >> np.uint64(32)
+        values[:, 2 * p] = np.minimum.reduceat(v, first)
+        values[:, 2 * p + 1] = np.maximum.reduceat(v, first)
+    return values
+
+
+def _signatures(bands: int, rows: int, k: int):
+    permutations = (bands * rows + 1) // 2
     place = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(it):
@@ -74,14 +90,7 @@ def _signatures(bands: int, rows: int, k: int):
             n = b.num_rows
             cut = np.searchsorted(doc, np.arange(n + 1))
             full = np.flatnonzero(cut[1:] > cut[:-1])
-            values = np.zeros((full.size, 2 * permutations), np.uint64)
-            if full.size:
-                first = cut[full]
-                for p in range(permutations):
-                    v = h * factor[p] + offset[p]
-                    v ^= v >> np.uint64(32)
-                    values[:, 2 * p] = np.minimum.reduceat(v, first)
-                    values[:, 2 * p + 1] = np.maximum.reduceat(v, first)
+            values = signature_values(h, cut[full], permutations)
             keys = np.zeros((full.size, bands), np.uint64)
             for r in range(rows):
                 keys = keys * np.uint64(0x9E3779B97F4A7C15) + mix(values[:, r : bands * rows : rows])
@@ -93,13 +102,12 @@ def _signatures(bands: int, rows: int, k: int):
                 counts[d] = 1 + int((s[1:] != s[:-1]).sum())
             raw, ends = low.tobytes(), bounds.tolist()
             sequences = [hashlib.blake2b(b" ".join(raw[i:j].split()), digest_size=16).digest() if m else None for i, j, m in zip(ends, ends[1:], size.tolist())]
-            band_rows, signatures = [None] * n, [None] * n
-            small = values.astype(np.uint16)
+            band_rows = [None] * n
             for i, d in enumerate(full.tolist()):
-                band_rows[d], signatures[d] = keys[i], small[i].tobytes()
+                band_rows[d] = keys[i]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(sequences, pa.binary()), pa.array(band_rows, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
-                names=["doc_id", "n_shingles", "sequence", "bands", "signature"],
+                [b.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(sequences, pa.binary()), pa.array(band_rows, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "sequence", "bands"],
             )
 
     return run
@@ -146,11 +154,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_confirm(percent, k), "a long, b long")
 
 
-def _shingle_hashes(k: int):
+def _shingle_hashes(k: int, seed: int):
     def run(it):
         for b, data, bounds in batches(it):
             words = Words(LOWER[data], bounds)
-            h, at = words.windows(words.hashes(), k)
+            h, at = words.windows(words.hashes(seed), k)
             cut = np.searchsorted(words.doc[at], np.arange(b.num_rows + 1)).tolist()
             sets = [np.unique(h[i:j]).view(np.int64) for i, j in zip(cut, cut[1:])]
             keys = [int(mix(x.view(np.uint64)).sum()) - (1 << 63) for x in sets]
@@ -159,55 +167,118 @@ def _shingle_hashes(k: int):
     return run
 
 
-def _prefixes(loose: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """(shingle, doc, comp, n, rank, before): of each set its rarest shingles, one more than a linked set may lack.
-
-    With the set's size, the shingle's rank in it, and the shingles before it that other sets have too.
-    """
-    rows = loose.join(texts.withColumnRenamed("doc_id", "doc"), "doc").mapInArrow(_shingle_hashes(k), "doc long, comp long, key long, shingles array<long>")
+def _shared_sets(loose: DataFrame, texts: DataFrame, percent: int, k: int, seed: int) -> DataFrame:
+    """SETS of the loose documents' texts: n, its size; rare, of its rarest shingles those that other texts have, as many as a linked set may lack and one more; shingles, all that other texts have."""
+    rows = loose.join(texts.withColumnRenamed("doc_id", "doc"), "doc").mapInArrow(_shingle_hashes(k, seed), "doc long, comp long, key long, shingles array<long>")
     every = rows.select("doc", "comp", "key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    known = every.groupBy("shingle").agg(F.count("*").alias("docs"))
-    ranked = every.join(known, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("doc", "key").orderBy("docs", "shingle")))
-    first = ranked.where(f"docs > 1 and rank <= n - ceil(n * {percent} / 100) + 1")
-    before = F.collect_list("shingle").over(Window.partitionBy("doc", "key").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    return first.select("shingle", "doc", "comp", "n", "rank", before.alias("before"))
-
-
-def _likely(percent: int, rows: int, miss: float):
-    """Pairs of two tiles (or of one) whose components differ, that can reach the threshold, and whose signatures nearly agree.
-
-    A pair is judged where it meets first, at the rarest shingle it shares: all
-    that the two have in common comes from there on, so a pair with too little
-    left behind it is not linked.
-    """
-    t = percent / 100
-    least = t - MARGIN_ERRORS * math.sqrt(t * (1 - t) / (bands_for(percent, rows, miss) * rows))
+    # A table of its own, so that a shingle in very many documents can be split in the join.
+    known = stored(every.groupBy("shingle").agg(F.count("*").alias("docs")).where("docs > 1"), "known")
+    shared = every.join(known, "shingle").groupBy("doc", "key", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("docs", "shingle"))).alias("s"))
+    # The set's own shingles are rarer than all others, and there are n - size(s) of them.
+    rare = f"slice(s, 1, greatest(0, size(s) - cast(ceil(n * {percent} / 100) as int) + 1)).shingle"
+    out = stored(shared.select("doc", "comp", "key", "n", F.expr(rare).alias("rare"), F.col("s.shingle").alias("shingles")).where("size(rare) > 0"), "sets")
+    release(known)
+    return out
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of values that each two of the sets have in common."""
+    n = len(sets)
+    out = np.zeros(n * n)
+    owner = np.repeat(np.arange(n), [x.size for x in sets])
+    value = np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if value.size else np.zeros(0, np.int64)
+    length = np.diff(np.append(first, value.size))
+    for size in np.unique(length[(length > 1) & (length <= COMMON)]).tolist():
+        at = first[length == size]
+        step = max(1, (1 << 22) // size**2)
+        for i in range(0, at.size, step):
+            lists = owner[at[i : i + step, None] + np.arange(size)]
+            out += np.bincount((lists[:, :, None] * n + lists[:, None, :]).ravel(), minlength=n * n)
+    out = out.reshape(n, n)
+    common = np.flatnonzero(length > COMMON)
+    for i in range(0, common.size, 4096):
+        block = common[i : i + 4096]
+        has = np.zeros((n, block.size), np.float32)
+        for c, (a, m) in enumerate(zip(first[block].tolist(), length[block].tolist())):
+            has[owner[a : a + m], c] = 1
+        out += has @ has.T
+    return out
+
+
+def forest(linked: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) of the matrix that join its rows' components, none of them in vain."""
+    own = np.unique(comp, return_inverse=True)[1]
+    reached, edges = np.zeros(own.max(initial=-1) + 1, bool), []
+    for start in range(comp.size):
+        if reached[own[start]]:
+            continue
+        reached[own[start]] = True
+        front = np.flatnonzero(own == own[start])
+        while front.size:
+            meets = linked[front]
+            new = np.flatnonzero(meets.any(0) & ~reached[own])
+            _, once = np.unique(own[new], return_index=True)
+            new = new[once]
+            edges += zip(front[meets[:, new].argmax(0)].tolist(), new.tolist())
+            reached[own[new]] = True
+            front = np.flatnonzero(np.isin(own, own[new])) if new.size else new
+    return edges
+
+
+def _tile_links(percent: int):
+    """Links between components of the sets of two tiles of a band, or of one."""
 
     def run(group: pa.Table) -> pa.Table:
-        doc, comp, tile, n, rank = (group.column(c).to_numpy() for c in ("doc", "comp", "tile", "n", "rank"))
-        rest = n - rank + 1
-        before = [frozenset(x) for x in group.column("before").to_pylist()]
-        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(doc), -1)
-        one, two = (group.column(c)[0].as_py() for c in ("low", "high"))
-        left = np.flatnonzero(tile == one)
-        right = np.flatnonzero(tile == two)
-        a, b = [], []
-        for i in left.tolist():
-            j = right[(comp[right] != comp[i]) & ((doc[right] > doc[i]) if one == two else True)]
-            j = j[np.minimum(rest[j], rest[i]) * (100 + percent) >= percent * (n[j].astype(np.int64) + n[i])]
-            if j.size:
-                j = j[(sig[j] == sig[i]).mean(1) >= least]
-                own = before[i]
-                j = j[[own.isdisjoint(before[x]) for x in j.tolist()]] if j.size else j
-                a.extend(np.minimum(doc[j], doc[i]).tolist())
-                b.extend(np.maximum(doc[j], doc[i]).tolist())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        order = np.argsort(group.column("doc").to_numpy(), kind="stable")
+        group = group.take(pa.array(order))
+        doc, comp, tile, n = (group.column(c).to_numpy() for c in ("doc", "comp", "tile", "n"))
+        both = intersections([np.asarray(x, np.int64) for x in group.column("shingles").to_numpy()])
+        linked = 100 * both >= percent * (n[:, None].astype(np.int64) + n[None, :] - both)
+        linked &= comp[:, None] != comp[None, :]
+        if group.column("low")[0].as_py() != group.column("high")[0].as_py():
+            linked &= tile[:, None] != tile[None, :]
+        edges = forest(linked, comp)
+        return pa.table({"a": pa.array([int(doc[i]) for i, _ in edges], pa.int64()), "b": pa.array([int(doc[j]) for _, j in edges], pa.int64())})
 
     return run
 
 
+def _loose_links(state: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Confirmed links that join the components of documents in open bands."""
+    open_bands = state.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("docs").alias("size")).where("lo <> hi and size > 2").select("band")
+    loose = stored(state.select("band", "doc", "comp").join(open_bands, "band"), "loose")
+    seed = 0
+    while True:
+        sets = _shared_sets(loose.select("doc", "comp").distinct(), texts, percent, k, seed)
+        rare = sets.select("doc", "comp", F.explode("rare").alias("shingle"))
+        mixed = rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
+        active = stored(rare.join(mixed, "shingle", "left_semi").select("doc").distinct(), "active")
+        met = loose.join(active, "doc", "left_semi").join(sets.select("doc", "key", F.size("shingles").alias("m")), "doc")
+        bands = met.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("docs"), F.sum("m").alias("all")).where("lo <> hi")
+        tiles = stored(bands.select("band", F.ceil(F.greatest(F.col("docs") / TILE_DOCS, F.col("all") / TILE_SHINGLES)).cast("int").alias("tiles")), "tiles")
+        places = (
+            met.join(tiles, "band")
+            .withColumn("tile", F.pmod(F.xxhash64("doc", "key"), F.col("tiles")).cast("int"))
+            .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            .select("band", "doc", "key", "tile", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"))
+        )
+        laid = places.join(sets.drop("rare"), ["doc", "key"]).select("band", "low", "high", "tile", "doc", "comp", "n", "shingles")
+        found = stored(laid.groupBy("band", "low", "high").applyInArrow(_tile_links(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
+        links = stored(confirmed(found, texts, percent, k), "links")
+        whole = found.count() == links.select("a", "b").distinct().count()
+        release(sets, active, tiles, found)
+        if whole:
+            release(loose)
+            return links
+        release(links)
+        seed += 1
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(doc, comp) of every end of the edges (a, b); comp is the smallest document reachable."""
+    """(doc, comp) of every end of the edges (a, b), as a stored table; comp is the smallest document reachable."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = stored(e, "edges")
     mark = None
@@ -221,8 +292,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    return e.select(F.col("u").alias("doc"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("doc"), F.col("v").alias("comp")).distinct())
+        before, e = e, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(before)
+    out = stored(e.select(F.col("u").alias("doc"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("doc"), F.col("v").alias("comp")).distinct()), "components")
+    release(e)
+    return out
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, rows: int = ROWS, miss: float = MISS) -> DataFrame:
@@ -230,40 +304,31 @@ def dedup(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, rows: int =
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = stored(named.mapInArrow(_signatures(bands_for(percent, rows, miss), rows, k), SIGNATURES), "signatures")
 
-    classes = signed.where("doc_id is not null and sequence is not null").groupBy("sequence").agg(F.min("doc_id").alias("rep"))
+    # Tables of their own below, so that a hot sequence or band can be split in the joins.
+    classes = stored(signed.where("doc_id is not null and sequence is not null").groupBy("sequence").agg(F.min("doc_id").alias("rep")), "sequences")
     placed = stored(signed.select("doc_id", "n_shingles", "sequence").join(classes, "sequence", "left").select("doc_id", "n_shingles", "rep"), "classes")
     # A doc_id with several texts belongs to several classes, which it links.
     spread = placed.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
-    joint = spread.join(placed, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    joint = stored(spread.join(placed, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "joint")
 
     stand = signed.where("bands is not null").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "sequence"], "left_semi")
     dealt = stand.select(F.explode("bands").alias("band"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
-    buckets = dealt.groupBy("band").agg(F.min(F.struct("doc", "n")).alias("hub"), F.count("*").alias("docs")).where("docs > 1")
+    buckets = stored(dealt.groupBy("band").agg(F.min(F.struct("doc", "n")).alias("hub"), F.count("*").alias("docs")).where("docs > 1"), "bands")
     members = stored(
         dealt.join(buckets, "band").select("band", "doc", "n", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"), "docs"), "members"
     )
+    release(signed, classes, buckets)
     fits = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     pairs = members.where("doc <> hub").where(fits).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     texts = stored(named.join(members.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
-    first = stored(confirmed(pairs, texts, percent, k), "links")
+    first = stored(confirmed(pairs, texts, percent, k).unionByName(joint), "links")
 
-    comp = components(first.unionByName(joint))
+    comp = components(first)
     state = stored(members.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "state")
-    open_bands = state.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("docs").alias("size")).where("lo <> hi and size > 2").select("band")
-    loose = state.join(open_bands, "band").select("doc", "comp").distinct()
-    prefixes = stored(_prefixes(loose, texts, percent, k), "prefixes")
-    mixed = prefixes.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("docs")).where("lo <> hi")
-    left = (
-        prefixes.join(mixed.select("shingle", F.ceil(F.col("docs") / F.lit(TILE)).cast("int").alias("tiles")), "shingle")
-        .withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("shingle", "doc", "comp", "n", "rank", "before", "tile", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"))
-        .join(stand.select(F.col("doc_id").alias("doc"), "signature"), "doc")
-    )
-    likely = left.groupBy("shingle", "low", "high").applyInArrow(_likely(percent, rows, miss), "a long, b long").distinct()
-    links = first.unionByName(joint).unionByName(confirmed(likely, texts, percent, k))
-
-    final = components(links)
+    release(members, joint, comp)
+    more = _loose_links(state, texts, percent, k)
+    final = components(first.unionByName(more))
+    release(first, more, state, texts)
     return (
         placed.join(final.withColumnRenamed("doc", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
