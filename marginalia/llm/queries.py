@@ -74,13 +74,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+#: Arrivals that the sharding query appends one after the other; a document belongs to that of its doc_id's remainder.
+ARRIVALS = 6
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.ShardTable(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    shards.append(table(spark, sf_dir, "documents"))
-    version = shards.compact()
-    return shards.read(version).select(
-        "doc_id", F.col("_shard").alias("shard"), F.col("_tier").alias("tier"), F.lit(version).alias("version"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
-    )
+    arrival = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS)).cast("long")
+    rows = table(spark, sf_dir, "documents").withColumn("arrival", arrival)
+    for k in range(ARRIVALS):
+        shards.append(rows.where(F.col("arrival") == k))
+        shards.compact()
+        shards.vacuum()
+    return shards.read().select("doc_id", "arrival", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -103,19 +109,6 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
-_SEED_COLUMNS = [
-    " || ' ' || ".join(f"lead(word, {p}) OVER w" if p else "word" for p in mask) for mask in decontaminate.MASKS
-]
-
-
-def _seeds_sql(source: str, key: str, at: str) -> str:
-    """Masked spans of the words in a source as text, with the mask's number."""
-    span = max(map(max, decontaminate.MASKS))
-    parts = [
-        f"SELECT {key}, {at}, {k} AS mask, {columns} AS seed, lead(word, {span}) OVER w AS last FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY {at})"
-        for k, columns in enumerate(_SEED_COLUMNS)
-    ]
-    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE last IS NOT NULL"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -143,17 +136,22 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT doc_id AS doc, doc_id AS comp FROM d UNION SELECT e.b, r.comp FROM r JOIN e ON r.doc = e.a),
             m AS (SELECT doc, min(comp) AS comp FROM r GROUP BY doc)
             SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, comp AS component_id, d.doc_id = comp AS kept FROM d LEFT JOIN c ON c.doc_id = d.doc_id JOIN m ON m.doc = d.doc_id""",
+        # Of 13 words at least 11 agree, so four in a row do; of a shorter item two in a row do, or its one word.
         "op7_decontaminate": f"""
             WITH dl AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
             bl AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
             dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM dl),
-            bw AS (SELECT item_id, least(len(w), {decontaminate.WINDOW}) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM bl),
-            ds AS ({_seeds_sql("dw", "doc_id", "p")}), bs AS ({_seeds_sql("bw", "item_id", "q")}),
-            h AS (SELECT DISTINCT doc_id, item_id, p - q AS shift FROM ds JOIN bs ON ds.seed = bs.seed AND ds.mask = bs.mask),
-            o AS (SELECT h.doc_id, h.item_id, n, sum(CASE WHEN dw.word = bw.word THEN 1 ELSE 0 END) OVER v AS same, count(*) OVER v AS there
+            bw AS (SELECT item_id, len(w) AS size, least(len(w), {decontaminate.WINDOW}) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM bl),
+            dr AS (SELECT doc_id, p, word, lead(word, 1) OVER v AS w1, lead(word, 2) OVER v AS w2, lead(word, 3) OVER v AS w3 FROM dw WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
+            br AS (SELECT item_id, size, q, word, lead(word, 1) OVER v AS w1, lead(word, 2) OVER v AS w2, lead(word, 3) OVER v AS w3 FROM bw WINDOW v AS (PARTITION BY item_id ORDER BY q)),
+            h AS (SELECT doc_id, item_id, p - q AS shift FROM dr JOIN br ON size >= 13 AND dr.word = br.word AND dr.w1 = br.w1 AND dr.w2 = br.w2 AND dr.w3 = br.w3
+                  UNION SELECT doc_id, item_id, p - q FROM dr JOIN br ON size < 13 AND dr.word = br.word AND dr.w1 = br.w1
+                  UNION SELECT doc_id, item_id, p - q FROM dr JOIN br ON size = 1 AND dr.word = br.word),
+            o AS (SELECT h.doc_id, h.item_id, n, sum(CASE WHEN dw.word = bw.word THEN 1 ELSE 0 END) OVER (v ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS same,
+                         count(*) OVER (v ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS there
                   FROM h JOIN bw ON bw.item_id = h.item_id JOIN dw ON dw.doc_id = h.doc_id AND dw.p = q + shift
-                  WINDOW v AS (PARTITION BY h.doc_id, h.item_id, shift, n ORDER BY q ROWS BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING)),
-            o9 AS (SELECT * FROM o WHERE n = {decontaminate.WINDOW} AND there = n AND same * 100 >= {decontaminate.PERCENT} * n),
+                  WINDOW v AS (PARTITION BY h.doc_id, h.item_id, shift, n ORDER BY q)),
+            o9 AS (SELECT * FROM o WHERE there = n AND same * 100 >= {decontaminate.PERCENT} * n),
             f AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS item_ids, max(same * 100e0 / n) AS best_percent FROM o9 GROUP BY doc_id)
             SELECT dl.doc_id, item_ids IS NOT NULL AS contaminated, item_ids, best_percent, item_ids IS NULL AS kept FROM dl LEFT JOIN f ON f.doc_id = dl.doc_id""",
         "op9_exact_dedup": f"""
@@ -161,4 +159,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM d WINDOW w AS (PARTITION BY t)""",
+        "op10_sharding": f"SELECT doc_id, coalesce(doc_id, 0) % {ARRIVALS} AS arrival, source, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
     }
