@@ -6,15 +6,16 @@ language whose codeword has the least sum of logistic losses, each bit
 weighted by how well its model tells that language in training; a small lead
 over the second codeword flags the text as ambiguous.
 
-`fit` learns from a bounded sample: at most about SAMPLE_PER_LANGUAGE
-documents of each language, taken by a hash of doc_id, each as one vector of
-BUCKETS numbers made of its whole text on the executors. `predict` passes
-over whole texts; the model (a few hundred KB) goes to the tasks.
+`fit` learns from a bounded sample: about SAMPLE_PER_LANGUAGE distinct texts
+of each language at most, taken by a hash of doc_id and text, each as one
+vector of BUCKETS numbers made of the whole text on the executors. `predict`
+passes over whole texts; the model (a few hundred KB) goes to the tasks.
 
 Cases: null or empty text, and text without a letter, is `und` with score 0;
 an empty training table, or one without languages, gives a model that answers
 `und` to all; one language is learnt as that one with score 1; ties go to the
-language that sorts first; other columns are ignored.
+language that sorts first; doc_ids may be null or repeated (equal rows count
+once); very long texts are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import LOWER, batches
+from marginalia.llm.common import LOWER, batches, unused
 
 UNDETERMINED = "und"
 #: n-grams of 1, 2 and 3 bytes of the lowered text fall into so many buckets.
 BUCKETS = 4096
-#: The bound on the training sample: documents of each language, about.
+#: The bound on the training sample: distinct texts of each language, about.
 SAMPLE_PER_LANGUAGE = 1500
+#: Documents in one piece of work, each with BUCKETS numbers.
+PIECE_ROWS = 512
 #: Leads (in weighted loss per bit) below this are ambiguous.
 AMBIGUOUS_LEAD = 0.1
 STEPS = 300
@@ -101,7 +104,7 @@ def has_letter(text: str) -> bool:
 
 
 def _features(it):
-    for b, data, bounds in batches(it):
+    for b, data, bounds in batches(it, rows=PIECE_ROWS):
         v = _vectors(data, bounds).astype(np.float16)
         yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.tobytes() for r in v], pa.binary())], names=["lang", "vector"])
 
@@ -136,12 +139,15 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     languages = sorted(counts)
     if len(languages) < 2:
         return Model(languages, np.ones((len(languages), 1)), np.ones((len(languages), 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32))
-    # The hash takes about per_language documents of each language, whatever their number.
-    share = F.lit(0.0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / counts[lang]))).otherwise(share)
-    drawn = named.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share * float(1 << 30))
-    rows = drawn.select("lang", "text").mapInArrow(_features, "lang string, vector binary").toArrow()
+    # The hash takes about per_language rows of each language, whatever their number; those with one text are one.
+    shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / counts[lang]))])
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30))
+    drawn = named.where(place < F.element_at(shares, F.col("lang")) * float(1 << 30)).select("lang", "text").dropDuplicates()
+    rows = drawn.mapInArrow(_features, "lang string, vector binary").toArrow()
+    missing = sorted(set(languages) - set(rows["lang"].to_pylist()))
+    if missing:  # a language of a few texts in very many copies: one of them
+        one = named.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min("text").alias("text"))
+        rows = pa.concat_tables([rows, one.mapInArrow(_features, "lang string, vector binary").toArrow()])
     label = np.searchsorted(np.array(languages), np.array(rows["lang"].to_pylist()))
     # Half floats straight from the Arrow buffers: the sample is on the driver once, and once more as floats.
     x = np.concatenate([_vectors_in(c) for c in rows["vector"].chunks]).astype(np.float32)
@@ -177,10 +183,10 @@ def bits(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.sqrt(count) @ model.weights + model.bias
 
 
-def _predict(shared, known: bool):
+def _predict(shared, known: bool, out: list[str]):
     def run(it):
         model = shared.value
-        for b, data, bounds in batches(it, 1 << 20):
+        for b, data, bounds in batches(it, 1 << 20, PIECE_ROWS):
             n = b.num_rows
             lettered = np.array([t is not None and has_letter(t) for t in b.column("text").to_pylist()], bool)
             pred, score, unsure = [UNDETERMINED] * n, np.zeros(n), ~lettered
@@ -189,7 +195,7 @@ def _predict(shared, known: bool):
                 pred = [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), lettered.tolist())]
                 score = np.where(lettered, np.clip(p, 0.0, 1.0), 0.0)
                 unsure = unsure | (lead < AMBIGUOUS_LEAD)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred), pa.array(score), pa.array(unsure)], names=[*b.schema.names, *OUT])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred), pa.array(score), pa.array(unsure)], names=[*b.schema.names, *out])
 
     return run
 
@@ -197,14 +203,20 @@ def _predict(shared, known: bool):
 OUT = ["marginalia_lang", "marginalia_score", "marginalia_ambiguous"]
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with OUT: language, score between 0 and 1, and whether the decision is ambiguous."""
+def annotate(docs: DataFrame, model: Model, out: list[str] = OUT) -> DataFrame:
+    """docs with columns named in out: language, score between 0 and 1, and whether the decision is ambiguous."""
     from pyspark.sql import types as T
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
-    schema = T.StructType([*docs.schema.fields, *map(T.StructField, OUT, kinds)])
-    return docs.mapInArrow(_predict(shared, bool(model.languages)), schema)
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, out, kinds)])
+    return docs.mapInArrow(_predict(shared, bool(model.languages), out), schema)
+
+
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that have a language, with the columns of docs; an ambiguous decision is one."""
+    out = [unused(name, docs) for name in OUT]
+    return annotate(docs, model, out).where(F.col(out[0]) != UNDETERMINED).drop(*out)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

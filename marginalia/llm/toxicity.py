@@ -198,7 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample:
     share = int(min(1.0, sample / max(1, total)) * (1 << 30))
     # The hash takes about `sample` rows, whatever their number, so the broadcast is bounded.
     drawn = named.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share).groupBy("doc_id").agg(F.max("wanted").alias("wanted"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    # One text for each label, so that a doc_id with very many rows doesn't swell the sample.
+    rows = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("wanted").alias("wanted"))
     got = rows.mapInArrow(_features, "doc_id long, wanted array<double>, buckets binary").toArrow()
     order = np.argsort(ids_of(got["doc_id"]), kind="stable")
     features = [np.frombuffer(b, np.int32) for b in got["buckets"].to_pylist()]
