@@ -26,7 +26,7 @@ from marginalia.llm import (
     token_orc,
     toxicity,
 )
-from marginalia.llm.common import Words, powers, table, text_buffers
+from marginalia.llm.common import Words, table, text_buffers
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,8 +77,31 @@ def test_word_arrays():
         got = [data[s:e].tobytes().decode() for s, e in zip(w.start, w.end)]
         assert got == [x for t in sample for x in words(t)]
         assert w.doc.tolist() == [k for k, t in enumerate(sample) for _ in words(t)]
-    up, down = powers(10)
-    assert int(up[7]) * int(down[7]) % (1 << 64) == 1
+
+
+def twin_words(size=1024):
+    """The Thue-Morse word of this size and its complement, which polynomials modulo 2**64 cannot tell apart."""
+    t = "a"
+    while len(t) < size:
+        t += t.translate({97: 98, 98: 97})
+    return t, t.translate({97: 98, 98: 97})
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    r = random.Random(9)
+    sample = {"".join(r.choice("ab") for _ in range(r.randint(1, 90))) for _ in range(3000)} | {"x" * n for n in range(1, 200)} | set(twin_words()) | set(twin_words(64)) | {"a\0", "a\0\0", "\0"}
+    line = sorted(sample)
+    got = {}
+    for seed in (0, 1):
+        w = Words(*text_buffers(pa.array([" ".join(line)])))
+        got[seed] = w.hashes(seed).tolist()
+        assert len(set(got[seed])) == len(line) == w.start.size
+        # The same word has the same hash wherever it stands.
+        for k in r.sample(range(len(line)), 50):
+            assert Words(*text_buffers(pa.array(["y", f" {line[k]} z"]))).hashes(seed)[1] == got[seed][k]
+    assert not set(got[0]) & set(got[1])
 
 
 # 1 language identification
@@ -126,6 +149,40 @@ def test_language_scores_do_not_depend_on_batches(docs):
         assert language_id.bits(model, *text_buffers(pa.array([t])))[0] == pytest.approx(together[k], abs=1e-4)
 
 
+def test_language_equals_brute_force(docs):
+    """Vectors from a dictionary of n-grams, and a loop over languages and bits."""
+    model = language_id.fit(docs)
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        raw = re.sub(b"[A-Z]+", lambda m: m[0].lower(), r["text"].encode())
+        vector = np.zeros(language_id.BUCKETS)
+        for size, first, wide in ((1, 0, 256), (2, 256, 1024), (3, 1280, language_id.BUCKETS - 1280)):
+            for i in range(len(raw) - size + 1):
+                g = raw[i : i + size]
+                code = {1: lambda g: g[0], 2: lambda g: (g[0] * 257 + g[1]) * 2654435761 % 2**32 >> 22, 3: lambda g: (((g[0] * 65599 + g[1]) * 65599 + g[2]) * 2246822519 % 2**32 >> 16) % wide}[size](g)
+                vector[first + code] += 1 / (len(raw) - size + 1)
+        f = [sum(np.sqrt(vector) * model.weights[:, b]) + model.bias[b] for b in range(model.code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-x * c)) * t for x, c, t in zip(f, model.code[k], model.trust[k])) for k in range(len(model.languages))]
+        best = min(range(len(loss)), key=loss.__getitem__)
+        near = sorted(loss)
+        own = got[r["doc_id"]]
+        assert own["score"] == pytest.approx(1 / sum(math.exp(-(x - near[0]) * len(f)) for x in loss), abs=1e-3)
+        if near[1] - near[0] > 1e-3:
+            assert own["lang_pred"] == model.languages[best]
+        if abs(near[1] - near[0] - language_id.AMBIGUOUS_LEAD) > 1e-3:
+            assert own["ambiguous"] == (near[1] - near[0] < language_id.AMBIGUOUS_LEAD)
+
+
+def test_language_without_ids(spark):
+    """Null doc_ids, one text in very many rows, and texts without a word, of which a piece holds many."""
+    rows = [(None, f"the cat {k % 50} and the dog", "en") for k in range(3000)] + [(None, "der Hund und die Katze", "de")] * 3000 + [(None, None, "de")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = language_id.fit(df, per_language=20)
+    got = collections.Counter((r["lang_pred"], r["doc_id"]) for r in language_id.predict(df, model).collect())
+    assert got == {("en", None): 3000, ("de", None): 3000, ("und", None): 500}
+    assert language_id.keep(df, model).count() == 6000
+
+
 # 2 toxicity
 
 
@@ -152,6 +209,22 @@ def test_toxicity_edges(spark, odd, none, docs):
     toxicity.fit(odd, spark.createDataFrame([(3, 1, None), (4, 0, 0), (None, 1, 1), (10, 1, 1)], "doc_id long, quality int, toxic int"), queries.CATEGORIES)
 
 
+def test_toxicity_equals_brute_force(docs, spark):
+    """Sums over the distinct words of a text, category after category."""
+    import pyarrow as pa
+
+    model = toxicity.fit(docs, table(spark, SF, "labels"), queries.CATEGORIES)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    got = {r["doc_id"]: r for r in toxicity.predict(docs, model).collect()}
+    for r in docs.collect():
+        seen = {int(b) for w in set(words(r["text"])) for b in toxicity.word_buckets(*text_buffers(pa.array([w])))[0]}
+        p = []
+        for c in range(len(model.categories)):
+            logit = model.bias[c] + sum(weight[b][c] for b in seen if b in weight) + sum(x * model.links[c, d] for d, x in enumerate(p))
+            p.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
+        assert [got[r["doc_id"]][f"p_{c}"] for c in model.categories] == pytest.approx(p, abs=1e-9)
+
+
 # 3 passages
 
 
@@ -188,6 +261,14 @@ def test_passages_of_random_texts(spark):
     assert sorted((tuple(x) for x in substring_dedup.dedup(df).collect()), key=repr) == passages_removed(rows)
 
 
+def test_passages_of_words_hard_to_tell_apart(spark):
+    t, u = twin_words()
+    head = " ".join(f"h{k}" for k in range(12))
+    rows = [(1, f"{head} {t}"), (2, f"{head} {u}"), (3, f"{head} {u}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.dedup(df).collect())) == passages_removed(rows)
+
+
 def test_automata_find_every_window():
     r = random.Random(1)
     passage = " ".join(r.choice("abc") for _ in range(40)).encode()
@@ -249,17 +330,76 @@ def test_near_copies_without_a_common_hub(spark):
     assert got == near_components(rows, 85)
 
 
+def test_near_copies_in_one_large_group(spark, monkeypatch):
+    """Copies of one text with many edits, in tiles of a few: far fewer links are sent than documents."""
+    monkeypatch.setattr(near_dedup, "TILE_DOCS", 40)
+    r = random.Random(11)
+    base = [f"t{k}" for k in range(120)]
+    rows = []
+    for k in range(500):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 2, 3, 3, 4])):
+            w[r.randrange(120)] = f"e{r.randrange(40)}"
+        rows.append((k * 7 % 503, " ".join(w)))
+    sent, confirmed = [], near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *a: sent.append(pairs.count()) or confirmed(pairs, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.dedup(df, 85).collect()}
+    assert got == near_components(rows, 85)
+    hubs, loose = sent
+    assert loose <= 10 * len(rows) < len(rows) ** 2 / 20
+
+
+def test_near_copies_when_hashes_collide(spark, monkeypatch):
+    """Links that the texts refute make the tiles run again with another hash."""
+    plain, seeds = Words.hashes, []
+    monkeypatch.setattr(Words, "hashes", lambda self, seed=0: plain(self, seed) if seed != 0 or not seeds else plain(self, 0) % np.uint64(3))
+    monkeypatch.setattr(near_dedup, "_shingle_hashes", (lambda f: lambda k, seed: seeds.append(seed) or f(k, seed))(near_dedup._shingle_hashes))
+    test_near_copies_without_a_common_hub(spark)
+    assert seeds[0] == 0
+
+
+def test_shingles_of_words_hard_to_tell_apart(spark):
+    t, u = twin_words()
+    w = [f"w{k}" for k in range(9)]
+    df = spark.createDataFrame([(1, " ".join([*w[:4], t, *w[:4], u]))], "doc_id long, text string")
+    assert near_dedup.dedup(df).first()["n_shingles"] == 6
+
+
+@pytest.mark.parametrize("common", [64, 3])
+def test_intersections_and_forests(monkeypatch, common):
+    monkeypatch.setattr(near_dedup, "COMMON", common)
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 40))) for _ in range(30)]
+    got = near_dedup.intersections(sets)
+    assert all(got[i, j] == np.intersect1d(sets[i], sets[j]).size for i in range(30) for j in range(30) if i != j)
+    comp = r.integers(0, 12, 30)
+    linked = r.random((30, 30)) < 0.05
+    linked = (linked | linked.T) & (comp[:, None] != comp[None, :])
+    edges = near_dedup.forest(linked, comp)
+    assert all(linked[i, j] for i, j in edges)
+
+    def classes(pairs):
+        root = {c: c for c in comp.tolist()}
+        for a, b in pairs:
+            x, y = root[comp[a]], root[comp[b]]
+            root = {k: x if v == y else v for k, v in root.items()}
+        return root
+
+    some, every = classes(edges), classes(zip(*map(np.ndarray.tolist, np.nonzero(linked))))
+    assert {(some[a] == some[b]) == (every[a] == every[b]) for a in some for b in some} == {True}
+    assert len(edges) == len(set(comp.tolist())) - len(set(some.values()))
+
+
 def test_min_and_max_estimate_similarity():
     import pyarrow as pa
 
-    run = near_dedup._signatures(60, 5, 5)
     a = [f"q{k}" for k in range(400)]
     b = a[:360] + [f"z{k}" for k in range(40)]
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(a), " ".join(b)])], names=["doc_id", "text"])
-    out = next(run(iter([batch])))
-    x, y = (np.frombuffer(v, np.uint16) for v in out.column("signature").to_pylist())
+    h, at = (w := Words(*text_buffers(pa.array([" ".join(a), " ".join(b)])))).windows(w.hashes(), 5)
+    x, y = near_dedup.signature_values(h, np.searchsorted(w.doc[at], [0, 1]), 150)
     s, t = near_dedup.shingles(" ".join(a).encode()), near_dedup.shingles(" ".join(b).encode())
-    assert (x == y).mean() == pytest.approx(len(s & t) / len(s | t), abs=0.12)
+    assert x.size == 300 and (x == y).mean() == pytest.approx(len(s & t) / len(s | t), abs=0.12)
     assert near_dedup.bands_for(85) == 24 and (1 - 0.8**5) ** near_dedup.bands_for(80) <= 1e-6
 
 
@@ -355,9 +495,10 @@ def overlaps(text, item, window=13, percent=80):
     """Whether an overlay of the word lists agrees enough somewhere, by brute force."""
     split = lambda t: [x for x in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if x]
     h, it = split(text), split(item)
-    if min(len(h), len(it)) < 9:
-        return False
     w = min(window, len(it))
+    there = set(h)
+    if not w or sum(x in there for x in it) * 100 < percent * w:
+        return False  # the text has too few of the item's words anywhere
     for s in range(-(len(it) - w), len(h) - w + 1):
         low, high = max(0, -s), min(len(it), len(h) - s)
         same = [it[j] == h[j + s] for j in range(low, high)]
@@ -371,12 +512,20 @@ def test_masks_hit_every_window_with_two_replaced_words():
         assert any(not {i + p for p in m} & set(gone) for m in decontaminate.MASKS for i in range(13 - 8))
 
 
+def test_masks_of_short_items_hit_every_overlay():
+    for n in range(1, 13):
+        masks = decontaminate.short_masks(n)
+        for gone in itertools.combinations(range(n), n - -(-n * decontaminate.PERCENT // 100)):
+            assert any(not set(m) & set(gone) for m in masks)
+        assert all(m for m in masks)
+
+
 def leaky(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
-    items = [[word() for _ in range(n)] for n in (20, 13, 10, 9, 5, 40)]
+    items = [[word() for _ in range(n)] for n in (20, 13, 12, 10, 9, 8, 5, 3, 1, 40)]
     docs = []
-    for k in range(60):
+    for k in range(120):
         it = list(r.choice(items))
         at = r.randrange(len(it))
         it = it[at:][: r.randint(5, 30)] if r.random() < 0.3 else it
@@ -392,19 +541,38 @@ def leaky(spark):
 def test_contamination(spark, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+        monkeypatch.setattr(decontaminate, "BROADCAST_DOCS", 0)
     docs, bench = leaky(spark)
-    size = {b["item_id"]: len((b["text"] or "").split()) for b in bench.collect()}
-    want = {r["doc_id"]: {b["item_id"] for b in bench.collect() if overlaps(r["text"], b["text"])} for r in docs.collect()}
+    items = [(b["item_id"], b["text"]) for b in bench.collect()]
+    want = {r["doc_id"]: {i for i, t in items if overlaps(r["text"], t)} for r in docs.collect()}
     got = {r["doc_id"]: set(r["item_ids"] or []) for r in decontaminate.flagged(docs, bench).collect()}
-    assert got.keys() == want.keys() and any(want.values()) and not all(want.values())
-    text = {b["item_id"]: b["text"] for b in bench.collect()}
-    for r in docs.collect():
-        found, true = got[r["doc_id"]], want[r["doc_id"]]
-        # Items under 13 words are surely found without a replaced word, and never without an overlay.
-        assert found <= true and {i for i in true if size[i] >= 13} == {i for i in found if size[i] >= 13}
-        assert all(i in found for i in size if 9 <= size[i] < 13 and text[i] in r["text"].lower())
-    kept = {r["doc_id"] for r in decontaminate.keep(docs, bench).collect()}
-    assert kept == {i for i, v in got.items() if not v}
+    assert got == want and any(want.values()) and not all(want.values())
+    assert {i for v in want.values() for i in v} == set(range(10))
+    assert {r["doc_id"] for r in decontaminate.keep(docs, bench).collect()} == {i for i, v in got.items() if not v}
+
+
+def test_contamination_sql(spark):
+    """The registered SQL, which knows no masks, on items of all lengths."""
+    import duckdb
+
+    docs, bench = leaky(spark)
+    con = duckdb.connect()
+    con.register("documents", docs.where("doc_id is not null").toArrow())
+    con.register("benchmark", bench.toArrow())
+    answer = con.execute(queries.oracle_sql()["op7_decontaminate"])
+    names = [d[0] for d in answer.description]
+    got = decontaminate.flagged(docs.where("doc_id is not null"), bench).withColumn("kept", ~F.col("contaminated")).select(names).collect()
+    assert sorted(map(tuple, got)) == sorted(answer.fetchall())
+
+
+def test_contamination_of_a_long_text(spark):
+    """One text with an item ten thousand times, and rows that share an id."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    df = spark.createDataFrame([(1, " ".join(f"{item} x{k}" for k in range(10_000))), (2, "clean"), (2, item), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.matches(df, bench).collect()}
+    assert found.keys() == {1, 2} and found[1]["n_overlaps"] == 10_000
+    assert sorted(r["text"] or "" for r in decontaminate.keep(df, bench).collect()) == ["", "clean"]
 
 
 def test_contamination_edges(spark, odd, none):
@@ -555,6 +723,13 @@ def test_scores_edges(odd, none):
     assert blank["n_known"] == 0 and blank["score"] == pytest.approx(8 * math.log10(0.5))
 
 
+def test_scores_of_words_hard_to_tell_apart(spark):
+    t, u = twin_words()
+    df = spark.createDataFrame([(1, t), (2, u)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_known"] for r in context_tree.score(df, F.col("doc_id") == 1).collect()}
+    assert got == {1: 2, 2: 1}
+
+
 # 9 copies
 
 
@@ -601,20 +776,22 @@ def test_copies(request, which):
 # 10 shards
 
 
+def rows_of(df, columns):
+    return collections.Counter(map(tuple, df.select(columns).collect()))
+
+
 def test_shards(spark, docs, odd, none, tmp_path):
     t = sharding.ShardTable(spark, str(tmp_path / "t"), target=1 << 20)
     assert t.append(docs.repartition(12)) == 1 and t.append(docs.limit(5)) == 2
     before = t.manifest()[0]
     version = t.compact()
     after = t.manifest()[0]
-    assert version == 3 and len(after) < len(before) and sum(s.rows for s in after) == sum(s.rows for s in before) == docs.count() + 5
-    assert all(s.bytes <= 2 * t.target for s in after)
-    count = lambda df: collections.Counter(map(tuple, df.select(docs.columns).collect()))
-    assert count(t.read()) == count(t.read(2)) == count(docs.union(docs.limit(5)))
+    assert version >= 3 and len(after) < len(before) and sum(s.rows for s in after) == sum(s.rows for s in before) == docs.count() + 5
+    assert rows_of(t.read(), docs.columns) == rows_of(t.read(2), docs.columns) == rows_of(docs.union(docs.limit(5)), docs.columns)
     assert t.compact() == version
-    with pytest.raises(Exception, match="exist"):
+    with pytest.raises(sharding.LostCommit, match="exist"):
         t._commit(version, [], "{}")
-    assert t.vacuum() > 0 and count(t.read()) == count(docs.union(docs.limit(5)))
+    assert t.vacuum() > 0 and t.vacuum() == 0 and rows_of(t.read(), docs.columns) == rows_of(docs.union(docs.limit(5)), docs.columns)
     u = sharding.ShardTable(spark, str(tmp_path / "u"))
     u.append(odd)
     assert u.read().count() == len(ODD)
@@ -624,6 +801,79 @@ def test_shards(spark, docs, odd, none, tmp_path):
     assert v.read().count() == 0
 
 
+def test_arrivals_climb_tiers(spark, docs, tmp_path):
+    """Each row is written once a tier at most, and only shards of one tier are merged."""
+    t = sharding.ShardTable(spark, str(tmp_path / "t"))
+    written, merges, run = 0, [], sharding.ShardTable._change
+    t._change = lambda gone, added, schema: merges.append((gone, added)) or run(t, gone, added, schema)
+    for k in range(21):
+        t.append(docs.where(F.col("doc_id") % 21 == k).coalesce(1))
+        t.compact()
+    live = t.manifest()[0]
+    assert t.version() == 21 + 5 + 1 and collections.Counter(s.tier for s in live) == {0: 1, 1: 1, 2: 1}
+    for gone, added in merges:
+        written += sum(s.rows for s in added)
+        if gone:
+            assert len(gone) >= sharding.FAN and len({s.tier for s in gone}) == 1 and [s.tier for s in added] == [gone[0].tier + 1]
+    assert written <= docs.count() * 3 and sum(s.rows for s in live) == docs.count()
+    assert rows_of(t.read(), docs.columns) == rows_of(docs, docs.columns)
+
+
+def test_plan_fills_targets():
+    t = sharding.ShardTable.__new__(sharding.ShardTable)
+    t.target = 1000
+    shard = lambda k, n, tier: sharding.Shard(f"p{k:03d}", n, 1, tier, 1)
+    assert t.plan([shard(k, 100, 1) for k in range(3)] + [shard(9, 600, 1), shard(10, 10, 0)]) == []
+    runs = t.plan([shard(k, 100, 1) for k in range(25)] + [shard(30, 90, 0)])
+    assert list(map(len, runs)) == [10, 10, 5] and {s.tier for r in runs for s in r} == {1}
+    assert list(map(len, t.plan([shard(k, 100, 1) for k in range(22)]))) == [10, 10]
+    assert list(map(len, t.plan([shard(k, 499, 1) for k in range(5)]))) == [2, 2]
+
+
+def test_lost_commits_are_made_anew(spark, docs, tmp_path):
+    path = str(tmp_path / "t")
+    one, two = sharding.ShardTable(spark, path), sharding.ShardTable(spark, path)
+    first = docs.limit(10)
+    plain, raced = sharding.ShardTable._commit, []
+
+    def race(version, shards, schema):
+        if not raced:
+            raced.append(two.append(first))
+        plain(one, version, shards, schema)
+
+    one._commit = race
+    assert one.append(first) == 2 and raced == [1] and one.read().count() == 20
+    for _ in range(2):
+        two.append(first)
+    # A merge that another writer has done in the meantime is given up.
+    raced.clear()
+
+    def race_merge(version, shards, schema):
+        if not raced:
+            raced.append(two.compact())
+        plain(one, version, shards, schema)
+
+    one._commit = race_merge
+    assert one.compact() == raced[0] and one.read().count() == 40 and len(one.manifest()[0]) == 1
+
+
+def test_sharding_query(spark):
+    import duckdb
+
+    sf, made = "/root/testdata/sf0.01", []
+    plain = sharding.ShardTable.read
+    sharding.ShardTable.read = lambda self, *a: made.append(self) or plain(self, *a)
+    try:
+        df = queries.op10_sharding(spark, sf)
+    finally:
+        sharding.ShardTable.read = plain
+    assert made[0].version() > queries.ARRIVALS and len({s.tier for s in made[0].manifest()[0]}) > 1
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    answer = con.execute(queries.oracle_sql()["op10_sharding"])
+    assert sorted(map(tuple, df.select([d[0] for d in answer.description]).collect())) == sorted(answer.fetchall())
+
+
 def test_tiers():
     assert [sharding.tier_of(n, 4, 4) for n in (0, 3, 4, 15, 16, 63, 64)] == [0, 0, 1, 1, 2, 2, 3]
 
@@ -641,7 +891,8 @@ def test_pipeline_stages(spark, docs):
         now = stage(spark, now, SF)
         after = {r["doc_id"] for r in now.collect()}
         if name == "language_id":
-            assert len(after) >= 0.98 * len(before)
+            # Only documents without a letter go.
+            assert after == {i for i, t in before if any(map(str.isalpha, t))}
         if name == "exact_dedup":
             groups = collections.defaultdict(list)
             for i, t in before:
@@ -658,6 +909,53 @@ def test_pipeline_stages(spark, docs):
     assert {r["doc_id"]: r["ids"] for r in now.collect()} == {i: lib.encode(t) for i, t in texts.items()}
 
 
+@pytest.mark.parametrize("which", ["odd", "none"])
+def test_pipeline_stages_edges(request, spark, which):
+    """Nulls, empty and very long texts, repeated rows, an empty table and clashing names, stage by stage."""
+    import corpus_pipeline
+
+    df = request.getfixturevalue(which).withColumn("marginalia_lang", F.lit(1)).withColumn("marginalia_digest", F.lit(None).cast("string")).withColumn("print", F.lit(2))
+    now = df
+    for name, stage in corpus_pipeline.STAGES:
+        before = collections.Counter((r["doc_id"], r["text"]) for r in now.collect())
+        now = stage(spark, now, SF)
+        if name == "sentencepiece":
+            lib = library()
+            assert sorted(map(repr, ((r["doc_id"], list(r["ids"])) for r in now.collect()))) == sorted(map(repr, ((i, lib.encode(t or "")) for i, t in before.elements())))
+            break
+        after = collections.Counter((r["doc_id"], r["text"]) for r in now.collect())
+        assert now.columns == df.columns
+        if name == "language_id":
+            assert after == collections.Counter({k: n for k, n in before.items() if any(map(str.isalpha, k[1] or ""))})
+        if name == "exact_dedup":
+            groups = collections.defaultdict(list)
+            for i, t in before:
+                groups[re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")].append(i)
+            largest = {t: max((x for x in g if x is not None), default=None) for t, g in groups.items()}
+            assert {(i, re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) for i, t in after} == {(i, t) for t, i in largest.items()} and set(after.values()) <= {1}
+        if name == "near_dedup":
+            comp = near_components(list(before), 80)
+            assert after == collections.Counter({(i, t): n for (i, t), n in before.items() if i is None or comp[i] == i})
+        if name == "decontamination":
+            assert after == before
+
+
+def test_pipeline_run(spark):
+    """The whole run, against its stages' brute-force versions one after the other."""
+    import corpus_pipeline
+
+    rows = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
+    bench = [r["text"] for r in table(spark, SF, "benchmark").collect()]
+    rows = {i: t for i, t in rows.items() if any(map(str.isalpha, t))}
+    last = {re.sub("[A-Z]+", lambda m: m[0].lower(), t): i for i, t in sorted(rows.items())}
+    rows = {i: rows[i] for i in last.values()}
+    rows = {i: rows[i] for i in set(near_components(sorted(rows.items()), 80).values())}
+    rows = {i: t for i, t in rows.items() if not any(overlaps(t, b) for b in bench)}
+    lib = library()
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: lib.encode(t) for i, t in rows.items()} and len(got) == len(rows)
+
+
 def test_oracle_sql_of_copies(spark):
     import duckdb
 
