@@ -254,7 +254,7 @@ def _loose_links(state: DataFrame, texts: DataFrame, percent: int, k: int) -> Da
     while True:
         sets = _shared_sets(loose.select("doc", "comp").distinct(), texts, percent, k, seed)
         rare = sets.select("doc", "comp", F.explode("rare").alias("shingle"))
-        mixed = rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
+        mixed = stored(rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle"), "mixed")
         active = stored(rare.join(mixed, "shingle", "left_semi").select("doc").distinct(), "active")
         met = loose.join(active, "doc", "left_semi").join(sets.select("doc", "key", F.size("shingles").alias("m")), "doc")
         bands = met.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("docs"), F.sum("m").alias("all")).where("lo <> hi")
@@ -269,7 +269,7 @@ def _loose_links(state: DataFrame, texts: DataFrame, percent: int, k: int) -> Da
         found = stored(laid.groupBy("band", "low", "high").applyInArrow(_tile_links(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
         links = stored(confirmed(found, texts, percent, k), "links")
         whole = found.count() == links.select("a", "b").distinct().count()
-        release(sets, active, tiles, found)
+        release(sets, mixed, active, tiles, found)
         if whole:
             release(loose)
             return links
