@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.hashing import laplace, uniform
 from marginalia.operators.domain import Domain
+from marginalia.operators.order import numbered
 
 #: Dictionaries and value tables above this many rows are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -20,8 +21,7 @@ def small(df: DataFrame) -> DataFrame:
 def dictionary(df: DataFrame, column: str) -> DataFrame:
     """(value, code): the distinct values as text in lexicographic order, from 0."""
     values = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
-    # Ranks need one order over all distinct values of a column.
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    return numbered(values, [F.col("value")], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def dictionaries(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:

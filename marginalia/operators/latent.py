@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.hashing import uniform
+from marginalia.operators.encode import small
+from marginalia.operators.order import numbered
 from marginalia.sources.tables import cut
 
 
@@ -70,11 +72,11 @@ def gaussian_log(x: Column, mean: Column, variance: Column) -> Column:
 
 def posteriors(rows: DataFrame, theta: DataFrame, p: DataFrame, alpha: DataFrame | None = None) -> DataFrame:
     """(row_id, factor, state, p, log_z): the E-step; alpha has (attr, factor, alpha) weights, 1 if absent."""
-    t = F.broadcast(theta.select("attr", "x", "factor", "state", "log_ratio"))
+    t = small(theta.select("attr", "x", "factor", "state", "log_ratio"))
     terms = rows.join(t, ["attr", "x"])
     if alpha is not None:
-        terms = terms.join(F.broadcast(alpha), ["attr", "factor"]).withColumn("log_ratio", F.col("log_ratio") * F.col("alpha"))
-    logs = terms.groupBy("row_id", "factor", "state").agg(F.sum("log_ratio").alias("s")).join(F.broadcast(p), ["factor", "state"]).withColumn("u", F.col("s") + F.log("prior"))
+        terms = terms.join(small(alpha), ["attr", "factor"]).withColumn("log_ratio", F.col("log_ratio") * F.col("alpha"))
+    logs = terms.groupBy("row_id", "factor", "state").agg(F.sum("log_ratio").alias("s")).join(small(p), ["factor", "state"]).withColumn("u", F.col("s") + F.log("prior"))
     w = Window.partitionBy("row_id", "factor")
     top = logs.withColumn("top", F.max("u").over(w))
     z = F.log(F.sum(F.exp(F.col("u") - F.col("top"))).over(w)) + F.col("top")
@@ -94,7 +96,7 @@ def mutual_information(theta: DataFrame) -> DataFrame:
 
 def structure(rows: DataFrame, theta: DataFrame, post: DataFrame) -> DataFrame:
     """(attr, factor, alpha): the share of rows in which a factor explains an attribute best, in greedy turn."""
-    gain = rows.join(F.broadcast(theta.select("attr", "x", "factor", "state", "log_ratio")), ["attr", "x"]).join(post.select("row_id", "factor", "state", "p"), ["row_id", "factor", "state"])
+    gain = rows.join(small(theta.select("attr", "x", "factor", "state", "log_ratio")), ["attr", "x"]).join(post.select("row_id", "factor", "state", "p"), ["row_id", "factor", "state"])
     per = gain.groupBy("row_id", "attr", "factor").agg(F.sum(F.col("p") * F.col("log_ratio")).alias("gain"))
     best = F.row_number().over(Window.partitionBy("row_id", "attr").orderBy(F.desc(F.round("gain", 12)), "factor"))
     return per.withColumn("first", (best == 1).cast("double")).groupBy("attr", "factor").agg(F.avg("first").alias("alpha"))
@@ -139,10 +141,10 @@ def information_beyond_chance(rows: DataFrame, post: DataFrame, copies: int = 20
     spark = rows.sparkSession
     real = mutual_information(frequencies(rows, post)).withColumnRenamed("mi", "real")
     ids = rows.select("row_id").distinct()
-    order = ids.withColumn("place", F.row_number().over(Window.orderBy("row_id")))
+    order = numbered(ids, [F.col("row_id")], "place")
     made = None
     for k in range(copies):
-        other = ids.withColumn("place", F.row_number().over(Window.orderBy(uniform(F.lit(f"{seed}:{k}"), F.col("row_id")), "row_id"))).withColumnRenamed("row_id", "from")
+        other = numbered(ids, [uniform(F.lit(f"{seed}:{k}"), F.col("row_id")), F.col("row_id")], "place").withColumnRenamed("row_id", "from")
         moved = order.join(other, "place").select("row_id", "from").join(post.select(F.col("row_id").alias("from"), "factor", "state", "p"), "from").drop("from")
         mi = mutual_information(frequencies(rows, moved))
         made = mi if made is None else made.unionByName(mi)

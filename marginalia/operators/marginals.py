@@ -96,7 +96,7 @@ def dependence(df: DataFrame, a: str, b: str) -> DataFrame:
     joint = sparse(df, [a, b]).withColumnRenamed("value", "n_ab")
     n_a = F.sum("n_ab").over(Window.partitionBy(a))
     n_b = F.sum("n_ab").over(Window.partitionBy(b))
-    n = F.sum("n_ab").over(Window.partitionBy())
+    n = joint.agg(F.sum("n_ab")).scalar()
     expected = joint.select("n_ab", (n_a * n_b / n).alias("e"), n.alias("n"))
     return expected.agg(((F.sum(F.abs(F.col("e") - F.col("n_ab"))) + F.max("n") - F.sum("e")) / (2 * F.max("n"))).alias("tvd"))
 
@@ -126,6 +126,14 @@ def l1(model: DataFrame, data: DataFrame, columns: list[str], n: Column) -> Data
     return both.agg((F.sum(F.abs(F.coalesce("m", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)))) / 2 / n).alias("l1"))
 
 
+def losses(clean: DataFrame, private: DataFrame, model: DataFrame, columns: list[str], n: Column) -> DataFrame:
+    """(private_clean, model_private, model_clean): how far the noisy marginal is from the clean one, and the model's from both."""
+    named = [t.select(*columns, F.col("value").cast("double").alias(name)) for t, name in ((clean, "c"), (private, "p"), (model, "m"))]
+    all_cells = reduce(lambda x, y: x.join(y, columns, "full"), named)
+    far = lambda a, b: (F.sum(F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)))) / 2 / n).alias
+    return all_cells.agg(far("p", "c")("private_clean"), far("m", "p")("model_private"), far("m", "c")("model_clean"))
+
+
 def utility(real: DataFrame, made: DataFrame, sets: list[list[str]]) -> DataFrame:
     """(set_id, tvd) of each marginal between a table and a synthetic one, rescaled to the table's size.
 
@@ -135,7 +143,7 @@ def utility(real: DataFrame, made: DataFrame, sets: list[list[str]]) -> DataFram
     columns = list(dict.fromkeys(c for s in sets for c in s))
 
     def shares(df: DataFrame, sign: int) -> DataFrame:
-        return df.groupBy(*columns).agg(F.count("*").alias("__c")).withColumn("__w", F.lit(sign) * F.col("__c") / F.sum("__c").over(Window.partitionBy())).drop("__c")
+        return df.groupBy(*columns).agg((F.lit(sign) * F.count("*") / F.lit(max(1, df.count()))).alias("__w"))
 
     both = shares(real, 1).unionByName(shares(made, -1))
     by_cell = both.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.sum("__w").alias("__w"), F.grouping_id(*columns).alias("__set"))
@@ -179,8 +187,7 @@ def log_sum_exp(factor: DataFrame, keep: list[str], value: str = "value") -> Dat
 
 
 def normalize(factor: DataFrame, total: Column, value: str = "value") -> DataFrame:
-    every = F.sum(value).over(Window.partitionBy())
-    return factor.withColumn(value, F.col(value) * total / every)
+    return factor.withColumn(value, F.col(value) * total / factor.agg(F.sum(value)).scalar())
 
 
 def inner(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

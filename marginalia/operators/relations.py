@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.hashing import hash32, uniform
+from marginalia.operators.order import numbered
 
 
 def membership(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -55,6 +56,12 @@ def top(scored: DataFrame, score: str, key: str, k: int) -> DataFrame:
     return scored.orderBy(F.desc(score), key).limit(k)
 
 
+def top_late(scored: DataFrame, score: str, key: str, k: int, round_of: str, share: float = 0.5) -> DataFrame:
+    """The k best where a candidate that came in round r (from 0) counts share ** r of its score, so that late ones need to be better."""
+    weighed = scored.withColumn("weighed", F.col(score) * F.pow(F.lit(float(share)), F.col(round_of)))
+    return top(weighed, "weighed", key, k)
+
+
 def length_histogram(measures: DataFrame) -> DataFrame:
     return measures.groupBy(F.size("measure").alias("length")).agg(F.count("*").alias("n"))
 
@@ -78,7 +85,7 @@ def message_dependencies(edges: DataFrame) -> DataFrame:
 
 def hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
     """df with `position`, the row's place in an order that depends on seed and key alone."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(hash32(F.lit(seed), F.col(key)), key)) - 1)
+    return numbered(df, [hash32(F.lit(seed), F.col(key)), F.col(key)], "position")
 
 
 def split(df: DataFrame, key: str, seed: int, share: float = 0.8) -> DataFrame:

@@ -10,6 +10,9 @@ from marginalia.functions.hashing import hash32
 from marginalia.operators.encode import BROADCAST_ROWS, small
 from marginalia.operators.mrf import Model, Table
 
+#: Rows of a block that one task numbers, about.
+BLOCK_ROWS = 1 << 17
+
 
 def allocate(probabilities: DataFrame, totals, groups: list[str], value: str = "value", prob: str = "prob") -> DataFrame:
     """groups, value and count: whole parts of prob * total, and one more for the largest remainders, in each group.
@@ -34,22 +37,53 @@ def spread(counts: DataFrame, groups: list[str], value: str = "value") -> DataFr
     return counts.select(*groups, value, (hi - F.col("count")).alias("lo"), hi.alias("hi"))
 
 
-def add_column(rows: DataFrame, key: str, conditional: DataFrame, groups: list[str], name: str, seed: int, bound: int | None = None) -> DataFrame:
+def numbered_in_groups(rows: DataFrame, key: str, groups: list[str], salt: str, n: int) -> DataFrame:
+    """rows with `__row`, the place (from 0) in a hashed order of its group.
+
+    The order is by blocks of about BLOCK_ROWS rows, dealt by the key's hash,
+    and by another hash within a block, so a group of any size is spread over
+    many tasks; a block's first place is the size of the group's blocks before.
+    """
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    block = F.pmod(hash32(F.lit(f"{salt}:block"), F.col(key)), F.lit(blocks)).cast("int") if blocks > 1 else F.lit(0)
+    dealt = rows.withColumn("__block", block)
+    within = F.row_number().over(Window.partitionBy(*groups, "__block").orderBy(hash32(F.lit(salt), F.col(key)), key)) - 1
+    placed = dealt.withColumn("__row", within.cast("long"))
+    if blocks == 1:
+        return placed.drop("__block")
+    sizes = dealt.groupBy(*groups, "__block").agg(F.count("*").alias("__size"))
+    first = F.sum("__size").over(Window.partitionBy(*groups).orderBy("__block")) - F.col("__size")
+    # Dealt by the same columns as the rows are, so no row moves once more.
+    return placed.join(sizes.withColumn("__first", first).drop("__size"), [*groups, "__block"]).withColumn("__row", F.col("__row") + F.col("__first")).drop("__block", "__first")
+
+
+def add_column(rows: DataFrame, key: str, conditional: DataFrame, groups: list[str], name: str, seed: int, bound: int | None = None, n: int | None = None) -> DataFrame:
     """rows with a new column whose values follow the conditional distribution in each group of equal `groups`, in counts by largest remainder.
 
     conditional has groups, name and prob, and `bound` rows, if that is known (else
-    they are counted before a broadcast). Rows of a group are numbered in a
-    hashed order and meet their value by the range of numbers.
+    they are counted before a broadcast); n is the number of rows, if known. Rows
+    of a group are numbered in a hashed order; a row takes the value whose range
+    of numbers holds its own, found in an array of the group's range ends.
     """
+    n = rows.count() if n is None else n
+    placed = numbered_in_groups(rows, key, groups, f"{seed}:{name}", n)
+    at = F.size(F.filter("__ends", lambda end: end <= F.col("__row"))) + 1
+    if not groups:
+        # One row for each value of a column, so at most its domain's size.
+        counts = allocate(conditional.withColumnRenamed(name, "value"), F.lit(n), [])
+        ranges = spread(counts, []).where("hi > lo").orderBy("hi").collect()
+        kind = conditional.schema[name].dataType
+        if not ranges:  # no rows, or no values
+            return rows.where("false").withColumn(name, F.lit(None).cast(kind))
+        held = placed.withColumn("__ends", F.array(*[F.lit(r["hi"]) for r in ranges]))
+        values = F.array(*[F.lit(r["value"]).cast(kind) for r in ranges])
+        return held.withColumn(name, F.element_at(values, at)).drop("__row", "__ends")
     hint = small if bound is None else F.broadcast if bound <= BROADCAST_ROWS else (lambda x: x)
-    sizes = rows.groupBy(*groups).agg(F.count("*").alias("__n")) if groups else rows.agg(F.count("*").alias("__n"))
-    joined = conditional.join(hint(sizes), groups) if groups else conditional.crossJoin(sizes)
-    counts = allocate(joined.withColumnRenamed(name, "value"), F.col("__n"), groups)
-    ranges = hint(spread(counts, groups).where("hi > lo"))
-    number = F.row_number().over(Window.partitionBy(*groups).orderBy(hash32(F.lit(f"{seed}:{name}"), F.col(key)), key)) - 1
-    numbered = rows.withColumn("__row", number)
-    hit = numbered.join(ranges, groups) if groups else numbered.crossJoin(ranges)
-    return hit.where("__row >= lo and __row < hi").drop("__row", "lo", "hi").withColumnRenamed("value", name)
+    sizes = rows.groupBy(*groups).agg(F.count("*").alias("__n"))
+    counts = allocate(conditional.join(hint(sizes), groups).withColumnRenamed(name, "value"), F.col("__n"), groups)
+    ranges = spread(counts, groups).where("hi > lo").groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("hi", "value"))).alias("__ranges"))
+    ranges = hint(ranges.select(*groups, F.col("__ranges.hi").alias("__ends"), F.col("__ranges.value").alias("__values")))
+    return placed.join(ranges, groups).withColumn(name, F.element_at("__values", at)).drop("__row", "__ends", "__values")
 
 
 def order_of(model: Model) -> list[tuple[tuple, str]]:
@@ -93,7 +127,7 @@ def synthesize(spark: SparkSession, model: Model, n: int, seed: int = 0, key: st
         index = np.indices(p.shape).reshape(p.ndim, -1)
         data = [(*map(int, index[:, i]), float(v)) for i, v in enumerate(p.ravel())]
         schema = ", ".join([f"`{g}` int" for g in given] + [f"`{new}` int", "prob double"])
-        rows = add_column(rows, key, spark.createDataFrame(data, schema), list(given), new, seed, len(data))
+        rows = add_column(rows, key, spark.createDataFrame(data, schema), list(given), new, seed, len(data), n)
         if k % 4 == 3:
             rows = cut(rows)
     return rows
