@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +28,28 @@ def exponential_mechanism(items: DataFrame, score: str, epsilon: float, sensitiv
     return items.withColumn("noisy", noisy).orderBy(F.desc("noisy"), key).limit(k)
 
 
-def smoothed(cells: DataFrame, width: float, sigma: float, seed: int) -> DataFrame:
-    """Cells of a similar size share one noise and one mean: groups of values from the least value, each `width` wide."""
-    low = cells.agg(F.min("value").alias("low")).first()["low"]
-    grouped = cells.withColumn("group", F.floor((F.col("value") - F.lit(float(low or 0))) / F.lit(float(width))))
+def smoothed(cells: DataFrame, keys: list[str], width: float, sigma: float, seed: int) -> DataFrame:
+    """Cells of a similar noisy size share one noisy mean; groups are `width` wide.
+
+    Two Gaussian queries at sigma: the table by which cells are grouped, and
+    the means (which one row changes by 1 at most). Nothing else of the counts
+    shows, not even which of them are equal.
+    """
+    from marginalia.operators.encode import small
+
+    place = F.col("value") + F.lit(float(sigma)) * normal(F.lit(seed), F.lit("group"), *[F.col(k) for k in keys])
+    grouped = cells.withColumn("group", F.floor(place / F.lit(float(width))))
     means = grouped.groupBy("group").agg(F.avg("value").alias("mean"))
     noisy = means.withColumn("shared", F.col("mean") + F.lit(float(sigma)) * normal(F.lit(seed), F.col("group")))
-    return grouped.join(F.broadcast(noisy), "group").drop("value", "mean", "group").withColumnRenamed("shared", "value")
+    return grouped.join(small(noisy), "group").drop("value", "mean", "group").withColumnRenamed("shared", "value")
+
+
+def sanitized_histogram(counts: DataFrame, keys: list[str], epsilon: float, n: float, seed: int) -> DataFrame:
+    """A one-way histogram with Laplace noise for epsilon, clamped at 0 and scaled to n rows (evenly if nothing is left)."""
+    noisy = laplace_mechanism(counts, keys, 1.0 / epsilon, seed, clamp=True)
+    both = noisy.agg(F.struct(F.sum("value").alias("sum"), F.count("*").alias("cells"))).scalar()
+    scaled = F.when(both["sum"] > 0, F.col("value") * F.lit(float(n)) / both["sum"]).otherwise(F.lit(float(n)) / both["cells"])
+    return noisy.withColumn("value", scaled)
 
 
 def tvd_sensitivity(n: float) -> float:
@@ -70,6 +85,37 @@ def noise_for(queries: float, share: float, budget: float) -> float:
     return math.sqrt(queries / (share * budget))
 
 
+def exponential_epsilon(mu: float) -> float:
+    """The epsilon of a pure mechanism that is as private as a Gaussian one whose sensitivity over noise is mu."""
+    return math.log(_phi(mu / 2) / _phi(-mu / 2))
+
+
+class OverBudget(ValueError):
+    """A query that the budget doesn't cover."""
+
+
+@dataclass
+class Ledger:
+    """What has been asked, in units of the Gaussian budget: the squared sensitivity over noise of each query.
+
+    Squares of Gaussian mechanisms add up, so the whole is as private as one
+    query at the sum; no entry is made that would pass the budget.
+    """
+
+    budget: float
+    entries: list[tuple[str, int, float]] = field(default_factory=list)
+
+    @property
+    def spent(self) -> float:
+        return sum(cost for _, _, cost in self.entries)
+
+    def spend(self, what: str, queries: int, sensitivity: float, sigma: float) -> None:
+        cost = queries * (sensitivity / sigma) ** 2
+        if self.spent + cost > self.budget * (1 + 1e-9):
+            raise OverBudget(f"{what}: {cost} over {self.budget - self.spent}")
+        self.entries.append((what, queries, cost))
+
+
 @dataclass(frozen=True)
 class Shares:
     """What part of a party's epsilon goes where."""
@@ -85,7 +131,13 @@ class Shares:
         return self.local_model + self.row_count + (self.binning if self.binned else 0)
 
     def local(self, epsilon: float) -> float:
-        return round(epsilon * self.local_model / self.parties, 2)
+        """Of each party's model, to two digits where that leaves something and isn't more."""
+        whole = epsilon * self.local_model / self.parties
+        return r if 0 < (r := round(whole, 2)) <= whole * (1 + 1e-9) else whole
+
+    def count(self, epsilon: float) -> float:
+        """Of each party's noisy number of rows."""
+        return epsilon * self.row_count / self.parties
 
     def sketch(self, epsilon: float, attributes: int) -> float:
         """For each attribute, by advanced composition."""
@@ -107,14 +159,21 @@ class ModelNoise:
     select_share: float = 0.10
     step_share: float = 0.8
     theta: float = 6.0
+    #: Of the number of rows; 0 if it is known from elsewhere.
+    count_share: float = 0.0
+
+    @property
+    def later(self) -> int:
+        """Tables that may be measured after the first ones."""
+        return int(self.step_share * self.attributes)
 
     @property
     def queries(self) -> int:
-        return self.initial + int(self.step_share * self.attributes)
+        return self.initial + self.later
 
     @property
     def sigma(self) -> float:
-        return noise_for(self.queries, 1 - self.graph_share - self.select_share, self.budget)
+        return noise_for(self.queries, 1 - self.graph_share - self.select_share - self.count_share, self.budget)
 
     @property
     def cell_limit(self) -> float:
@@ -165,21 +224,26 @@ def _log_moment(q: float, sigma: float, alpha: float) -> float:
         for k in range(int(alpha) + 1):
             total = log_add(total, _log_binomial(alpha, k) + k * math.log(q) + (alpha - k) * math.log1p(-q) + (k * k - k) / (2 * sigma**2))
         return total
-    # Both tails of the fractional series; signs of the generalized binomials alternate beyond alpha.
-    plus = {True: -math.inf, False: -math.inf}
-    z = sigma**2 * math.log(1 / q - 1) + 0.5
-    coefficient, k = 1.0, 0
-    while True:
-        log_c, positive = math.log(abs(coefficient)), coefficient > 0
-        j = alpha - k
-        left = log_c + k * math.log(q) + j * math.log1p(-q) + (k * k - k) / (2 * sigma**2) + math.log(0.5) + log_erfc((k - z) / (math.sqrt(2) * sigma))
-        right = log_c + j * math.log(q) + k * math.log1p(-q) + (j * j - j) / (2 * sigma**2) + math.log(0.5) + log_erfc((z - j) / (math.sqrt(2) * sigma))
-        for term in (left, right):
-            plus[positive] = log_add(plus[positive], term)
-        coefficient *= (alpha - k) / (k + 1)
-        k += 1
-        if max(left, right) < -30 and k > alpha:
-            return log_sub(plus[True], plus[False])
+    return _log_moment_by_quadrature(q, sigma, alpha)
+
+
+def _log_moment_by_quadrature(q: float, sigma: float, alpha: float, cells: int = 4000) -> float:
+    """log E[(1 - q + q exp((2x - 1) / 2 sigma^2))^alpha] for x ~ N(0, sigma^2), by Simpson's rule in log space.
+
+    The integrand is a Gaussian around 0 where the first term of the sum
+    rules, and one around alpha where the second does; beyond twelve standard
+    deviations of both lies less than 1e-30 of it.
+    """
+    low, high = -12 * sigma, alpha + 12 * sigma
+    cells = 2 * max(cells, math.ceil((high - low) / sigma * 20))
+    step, terms = (high - low) / cells, []
+    for i in range(cells + 1):
+        x = low + i * step
+        ratio = log_add(math.log1p(-q), math.log(q) + (2 * x - 1) / (2 * sigma**2))
+        weight = 1 if i in (0, cells) else 4 if i % 2 else 2
+        terms.append(math.log(weight * step / 3) + alpha * ratio - x * x / (2 * sigma**2) - math.log(sigma * math.sqrt(2 * math.pi)))
+    top = max(terms)
+    return top + math.log(math.fsum(math.exp(t - top) for t in terms))
 
 
 def rdp(q: float, sigma: float, steps: int, orders: list[float]) -> list[float]:

@@ -15,7 +15,7 @@ from marginalia.operators import marginals as mg
 from marginalia.operators import privacy as dp
 from marginalia.operators import relations as rel
 from marginalia.operators.domain import Domain
-from marginalia.plans.marginal_queries import PARTY_A, _flag_status, _status_number, party_wide, rounded
+from marginalia.plans.marginal_queries import PARTY_A, PARTY_B, _flag_status, _status_number, party_wide, rounded
 from marginalia.plans.registry import WIDE, hash_sql, query, uniform_sql
 from marginalia.sources.tables import table
 
@@ -168,6 +168,12 @@ def lh_support(spark, sf):
     return rounded(local_dp.support(local_dp.hash_perturb(coded, "o_orderpriority", 1.0, "o_orderkey", 6), "o_orderkey", 5, 1.0), "estimate")
 
 
+@query(f"WITH {_PRIORITY}, {_lh_sql()} SELECT o_orderkey, CAST(report AS INTEGER) AS report FROM l")
+def lh_perturb(spark, sf):
+    coded = enc.encode(table(spark, sf, "orders"), ["o_orderpriority"], ["o_orderkey"])
+    return local_dp.hash_perturb(coded, "o_orderpriority", 1.0, "o_orderkey", 6)
+
+
 # Sketches
 
 M = 16
@@ -194,6 +200,16 @@ def fm_complement(spark, sf):
     return a.unionByName(b)
 
 
+_PHANTOMS = sketch.privacy(2.0, 1e-3, M, 1.0)
+_PHANTOM = uniform_sql("'7|' || seed || '|' || attr || '|' || value")
+
+
+@query(f"""WITH {_SKETCH} SELECT seed, attr, value, greatest(alpha, CAST(ceil(ln(1e0 - pow({_PHANTOM}, {1 / _PHANTOMS.phantoms!r}e0)) / {math.log(0.5)!r}e0) AS INTEGER), {_PHANTOMS.floor}) AS alpha FROM cp""")
+def fm_private(spark, sf):
+    a, b = _sides(spark, sf)
+    return sketch.privatize(a.unionByName(b), _PHANTOMS, 1.0, 7)
+
+
 @query(f"WITH {_SKETCH} SELECT * FROM un")
 def fm_union(spark, sf):
     return sketch.union(*_sides(spark, sf))
@@ -243,11 +259,40 @@ def exponential_mechanism(spark, sf):
     return rounded(dp.exponential_mechanism(items, "score", 0.1, 1.0, 8, "p_brand", 5), "noisy")
 
 
+@query(f"""WITH s AS (SELECT p_brand, count(*) AS v FROM part GROUP BY ALL), g AS (SELECT p_brand, v, CAST(floor((v + 1e0 * {_normal_sql(chr(39) + '3|group|' + chr(39) + ' || p_brand')}) / 10e0) AS BIGINT) AS g FROM s),
+           m AS (SELECT g, avg(v) AS mean FROM g GROUP BY g) SELECT p_brand, round(mean + 1e0 * {_normal_sql(chr(39) + '3|' + chr(39) + ' || g.g')}, 6) AS value FROM g JOIN m ON g.g = m.g""")
 def smoothed_marginal(spark, sf):
-    return dp.smoothed(mg.sparse(table(spark, sf, "part"), ["p_brand"]), 10.0, 1.0, 3)
+    return rounded(dp.smoothed(mg.sparse(table(spark, sf, "part"), ["p_brand"]), ["p_brand"], 10.0, 1.0, 3), "value")
+
+
+_LAPLACE = f"-4e0 * sign({uniform_sql(chr(39) + '6|' + chr(39) + ' || p_brand')} - 0.5e0) * ln(1e0 - 2e0 * abs({uniform_sql(chr(39) + '6|' + chr(39) + ' || p_brand')} - 0.5e0))"
+
+
+@query(f"""WITH s AS (SELECT p_brand, greatest(0e0, count(*) + {_LAPLACE}) AS v FROM part GROUP BY p_brand) SELECT p_brand, round(v * 1000e0 / sum(v) OVER (), 6) AS value FROM s""")
+def sanitized_histogram(spark, sf):
+    return rounded(dp.sanitized_histogram(mg.sparse(table(spark, sf, "part"), ["p_brand"]), ["p_brand"], 0.25, 1000.0, 6), "value")
 
 
-query()(smoothed_marginal)
+@query(f"""WITH c AS (SELECT l_returnflag, l_linestatus, count(*)::DOUBLE AS c FROM lineitem GROUP BY ALL), n AS (SELECT sum(c) AS n FROM c),
+           m AS (SELECT a.l_returnflag, b.l_linestatus, a.v * b.v / n AS m FROM (SELECT l_returnflag, sum(c) AS v FROM c GROUP BY ALL) a CROSS JOIN (SELECT l_linestatus, sum(c) AS v FROM c GROUP BY ALL) b CROSS JOIN n),
+           p AS (SELECT l_returnflag, l_linestatus, greatest(0e0, c + 25e0 * {_normal_sql(chr(39) + '8|' + chr(39) + ' || l_returnflag || ' + chr(39) + '|' + chr(39) + ' || l_linestatus')}) AS p FROM c)
+           SELECT round(sum(abs(coalesce(p, 0) - coalesce(c, 0))) / 2 / max(n), 9) AS private_clean, round(sum(abs(m - coalesce(p, 0))) / 2 / max(n), 9) AS model_private, round(sum(abs(m - coalesce(c, 0))) / 2 / max(n), 9) AS model_clean
+           FROM m LEFT JOIN c USING (l_returnflag, l_linestatus) LEFT JOIN p USING (l_returnflag, l_linestatus) CROSS JOIN n""")
+def clean_private_model_loss(spark, sf):
+    """The clean table of two columns, a noisy one, and a model in which they are independent."""
+    keys = ["l_returnflag", "l_linestatus"]
+    clean = _flag_status(spark, sf)
+    n = float(table(spark, sf, "lineitem").count())
+    model = mg.product(mg.sum_out(clean, keys[:1]), mg.sum_out(clean, keys[1:])).withColumn("value", F.col("value") / F.lit(n))
+    found = mg.losses(clean, dp.gaussian_mechanism(clean, keys, 25.0, 8, clamp=True), model, keys, F.lit(n))
+    return rounded(found, "private_clean", "model_private", "model_clean", digits=9)
+
+
+@query(f"WITH {_MEASURES_SQL}, w AS (SELECT measure, weight, weight * pow(0.5e0, len(measure) - 1) AS weighed FROM m) SELECT measure, weight, weighed FROM w ORDER BY weighed DESC, measure LIMIT 3")
+def topk_late_measures(spark, sf):
+    """The best three measures, where those of more columns come in later and count half as much for each."""
+    late = _measures(spark).withColumn("late", F.size("measure") - 1)
+    return rel.top_late(late, "weight", "measure", 3, "late").drop("late")
 
 
 # Synthesis
@@ -287,7 +332,7 @@ def synthetic_table(spark, sf):
     from marginalia.plans.synthesizer import Synthesizer
 
     rows = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_tax")
-    return Synthesizer(epsilon=3.2, seed=1, max_steps=60).fit(rows).sample(spark)
+    return Synthesizer(epsilon=3.2, seed=1).fit(rows).sample(spark)
 
 
 query()(synthetic_table)
@@ -297,7 +342,7 @@ def vertical_synthetic_table(spark, sf):
     """Two parties that share row keys only: local models, sketches across, one joint model, rows drawn from it."""
     from marginalia.plans.synthesizer import vertical
 
-    return vertical(party_wide(spark, sf), "row_id", PARTY_A, ["c_mktsegment"], epsilon=3.2, m=64, seed=1, max_steps=60)
+    return vertical(party_wide(spark, sf), "row_id", PARTY_A, PARTY_B, epsilon=3.2, m=64, seed=1)
 
 
 query()(vertical_synthetic_table)
@@ -363,17 +408,26 @@ def consistency_enforced(spark, sf):
 query()(consistency_enforced)
 
 
+_GRAPH = ["l_returnflag", "l_linestatus", "l_linenumber", "l_tax"]
+_PAIR_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, {a}::VARCHAR AS va, {b}::VARCHAR AS vb, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL" for k, a in enumerate(_GRAPH) for b in _GRAPH[k + 1 :]
+)
+
+
+# Here each edge is worth more than all cells of the four columns cost, so the search must find all edges.
+@query(f"""WITH j AS ({_PAIR_SQL}), e AS (SELECT a, b, n, sum(n) OVER (PARTITION BY a, b, va) * sum(n) OVER (PARTITION BY a, b, vb) / sum(n) OVER (PARTITION BY a, b) AS e, sum(n) OVER (PARTITION BY a, b) AS t FROM j),
+           s AS (SELECT a, b, (sum(abs(e - n)) + max(t) - sum(e)) / (2 * max(t)) AS tvd FROM e GROUP BY a, b),
+           c AS (SELECT count(DISTINCT l_returnflag) * count(DISTINCT l_linestatus) * count(DISTINCT l_linenumber) * count(DISTINCT l_tax) AS cells FROM lineitem)
+           SELECT least(a, b) AS src, greatest(a, b) AS dst, round(tvd, 9) AS tvd FROM s, c WHERE tvd > 1e-6 * cells""")
 def graph_edges(spark, sf):
     """The dependence graph of four line item columns: a greedy search over one table of pair scores."""
-    cols = ["l_returnflag", "l_linestatus", "l_linenumber", "l_tax"]
-    rows = table(spark, sf, "lineitem")
-    scores = {gr.Edge((a, b)): mg.dependence(rows, a, b).first()[0] for k, a in enumerate(cols) for b in cols[k + 1 :]}
-    sizes = {c: rows.select(c).distinct().count() for c in cols}
-    found = gr.search(cols, scores, sizes, penalty=1e-6)
-    return spark.createDataFrame([(*sorted(e), float(scores[e])) for e in found.edges], "src string, dst string, tvd double")
-
+    from marginalia.plans.synthesizer import pair_scores
 
-query()(graph_edges)
+    rows = table(spark, sf, "lineitem")
+    books = enc.dictionaries(rows, _GRAPH)
+    scores = pair_scores(enc.encode(rows, _GRAPH, [], books), [(a, b) for k, a in enumerate(_GRAPH) for b in _GRAPH[k + 1 :]])
+    found = gr.search(_GRAPH, scores, dict(enc.domain_of(books).items()), penalty=1e-6)
+    return spark.createDataFrame([(*sorted(e), round(float(scores[e]), 9)) for e in found.edges], "src string, dst string, tvd double")
 
 
 def noisy_hierarchy_marginal(spark, sf):
@@ -391,9 +445,26 @@ query()(noisy_hierarchy_marginal)
 # Accounting
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({e}e0, {round(dp.gaussian_budget(e), 9)}e0)" for e in (0.1, 0.2, 0.4, 0.8, 1.6, 3.2)) + ") AS t(epsilon, budget)")
+_EPSILONS = (0.1, 0.2, 0.4, 0.8, 1.6, 3.2)
+# delta(mu) is the integral of phi(t - mu) - e^epsilon phi(t) from where it is positive on, here by Simpson's rule; mu is bisected.
+_DELTA_SQL = """list_sum(list_transform(range(4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * (12e0 / 4000 / 3) / sqrt(2 * pi())
+    * (exp(-pow(epsilon / mid + mid / 2 + i * 12e0 / 4000 - mid, 2) / 2) - exp(epsilon - pow(epsilon / mid + mid / 2 + i * 12e0 / 4000, 2) / 2))))"""
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT epsilon, 1e-6::DOUBLE AS low, 4e0::DOUBLE AS high, 0 AS k FROM (VALUES {', '.join(f'({e}e0)' for e in _EPSILONS)}) AS t(epsilon)
+             UNION ALL SELECT epsilon, CASE WHEN delta < 1e-5 THEN mid ELSE low END, CASE WHEN delta < 1e-5 THEN high ELSE mid END, k + 1
+             FROM (SELECT *, {_DELTA_SQL} AS delta FROM (SELECT *, (low + high) / 2 AS mid FROM b WHERE k < 55)))
+           SELECT epsilon, round(pow((low + high) / 2, 2), 8) AS budget FROM b WHERE k = 55""")
 def gaussian_budgets(spark, sf):
-    return spark.createDataFrame([(e, round(dp.gaussian_budget(e), 9)) for e in (0.1, 0.2, 0.4, 0.8, 1.6, 3.2)], "epsilon double, budget double")
+    return spark.createDataFrame([(e, round(dp.gaussian_budget(e), 8)) for e in _EPSILONS], "epsilon double, budget double")
+
+
+@query(f"""WITH a AS (SELECT CAST(i AS INTEGER) AS alpha FROM range(2, 17) t(i)), j AS (SELECT alpha, unnest(range(2, alpha + 1)) AS j FROM a),
+           t AS (SELECT alpha, lgamma(alpha + 1) - lgamma(j + 1) - lgamma(alpha - j + 1) + j * ln(0.01e0) + CASE WHEN j = 2 THEN least(ln(4e0) + ln(exp(1 / 16e0) - 1), ln(2e0) + 1 / 16e0) ELSE ln(2e0) + (j - 1) * j / 32e0 END AS v FROM j)
+           SELECT alpha, round(1000 * least(ln(1 + sum(exp(v))) / (alpha - 1), alpha / 32e0), 6) AS rdp FROM t GROUP BY alpha""")
+def rdp_fixed_size_samples(spark, sf):
+    orders = list(range(2, 17))
+    return spark.createDataFrame([(a, round(r, 6)) for a, r in zip(orders, dp.rdp_without_replacement(0.01, 4.0, 1000, orders))], "alpha int, rdp double")
 
 
 _Q, _SIGMA, _STEPS = 0.02, 1.1, 1000
