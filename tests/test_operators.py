@@ -18,6 +18,8 @@ from marginalia.operators import marginals as mg
 from marginalia.operators import privacy as dp
 from marginalia.operators import relations as rel
 from marginalia.operators.domain import Domain, grid
+from marginalia.operators.order import numbered
+from marginalia.plans import synthesizer
 from marginalia.plans.synthesizer import Synthesizer, vertical
 from marginalia.sources import tables
 from marginalia.streaming import sketches
@@ -201,6 +203,7 @@ def test_budgets():
     assert dp.tvd_sensitivity(10) == 0.2
     s = dp.Shares()
     assert s.local(0.8) == 0.16 and 1 - s.spent == pytest.approx(0.5)
+    assert dp.gaussian_delta(0.3, dp.exponential_epsilon(0.3)) > 0 == pytest.approx(max(0.0, 1 / (1 + math.exp(-dp.exponential_epsilon(0.3))) - dp._phi(0.15)), abs=1e-12)
 
 
 def test_exponential_mechanism_prefers_large_scores(spark):
@@ -264,6 +267,67 @@ def test_allocation(spark):
     assert sum(r["count"] for r in synthesis.allocate(flat, F.lit(8), []).collect()) == 8
 
 
+def test_numbers_of_large_groups(spark, monkeypatch):
+    """In blocks, each row of a group has a number of its own, and columns drawn one after the other don't follow each other."""
+    monkeypatch.setattr(synthesis, "BLOCK_ROWS", 100)
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 7 < 5).cast("int").alias("g"))
+    got = synthesis.numbered_in_groups(rows, "row_id", ["g"], "1:x", 3000).collect()
+    for g in (0, 1):
+        own = [r["__row"] for r in got if r["g"] == g]
+        assert sorted(own) == list(range(len(own)))
+    half = spark.createDataFrame([(0, 0.5), (1, 0.5)], "x int, prob double")
+    two = synthesis.add_column(rows, "row_id", half, [], "x", 1)
+    two = synthesis.add_column(two, "row_id", half.withColumnRenamed("x", "y"), [], "y", 1)
+    cells = {(r["x"], r["y"]): r["count"] for r in two.groupBy("x", "y").count().collect()}
+    assert cells[0, 0] + cells[0, 1] == 1500 == cells[0, 0] + cells[1, 0] and cells[0, 0] == pytest.approx(750, abs=100)
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "(), row_number" not in plan
+    assert synthesis.add_column(rows.where("false"), "row_id", half, [], "x", 1).count() == 0
+
+
+def test_places_of_many_rows(spark):
+    """The same places by ranges as by one task."""
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k")).repartition(5)
+    whole = {r["k"]: r["at"] for r in numbered(df, [-F.col("k")], "at").collect()}
+    ranges = numbered(df, [-F.col("k")], "at", few=10)
+    assert {r["k"]: r["at"] for r in ranges.collect()} == whole and sorted(whole.values()) == list(range(1000)) and ranges.columns == ["k", "at"]
+
+
+@pytest.mark.parametrize("select", ["distance", "exponential"])
+def test_queries_made_are_within_the_budget(spark, monkeypatch, select):
+    df = spark.createDataFrame([(k % 2, k % 3, k % 2, (k * 7 >> 2) % 4) for k in range(400)], "a int, b int, c int, d int")
+    noisy, plain = [], synthesizer.measured_tables
+    monkeypatch.setattr(synthesizer, "measured_tables", lambda coded, sizes, ms, sigma, seed: noisy.extend([sigma] * len(ms)) or plain(coded, sizes, ms, sigma, seed))
+    s = Synthesizer(epsilon=3.2, select=select, max_steps=40).fit(df)
+    assert 0 < len(noisy) <= s.plan.queries and set(noisy) == {s.plan.sigma}
+    assert s.ledger.spent <= s.ledger.budget * (1 + 1e-9)
+    # One number of rows, the scores of all pairs, every noisy table, and what selects them.
+    asked = {what: sum(n for w, n, _ in s.ledger.entries if w == what) for what, _, _ in s.ledger.entries}
+    assert asked["number of rows"] == 1 and asked["scores of pairs"] == 6 and asked["tables"] == len(noisy)
+    assert asked.get("distances", 0) + asked.get("draws", 0) >= len(noisy) - s.plan.initial > 0
+    assert sum(cost for _, _, cost in s.ledger.entries) == s.ledger.spent
+    with pytest.raises(dp.OverBudget):
+        s.ledger.spend("one more", 1, 1.0, s.plan.sigma / 10)
+    assert abs(s.rows - 400) < 400 and len(s.entropies) >= 2
+
+
+def test_parties_spend_their_shares(spark):
+    rows = spark.range(600).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") % 2).alias("c"))
+    sent = []
+    made = vertical(rows, "row_id", ["a", "b"], ["c"], epsilon=4.0, m=32, max_steps=50, messages=sent)
+    n = synthesizer.agreed_rows(sent)
+    assert made.count() == n and len({m.rows for m in sent} | {600.0}) == 3 and abs(n - 600) < 60
+    budget = dp.gaussian_budget(dp.Shares().local(4.0))
+    assert all(m.ledger.budget == pytest.approx(budget) and m.ledger.spent <= budget * (1 + 1e-9) and "number of rows" not in dict.fromkeys(w for w, _, _ in m.ledger.entries) for m in sent)
+    whole = synthesizer.merged(sent)
+    assert whole.columns == ["a", "b", "c"] and whole.rows == n
+    with pytest.raises(ValueError):
+        synthesizer.merged([sent[0], sent[0]])
+    for eps in (0.01, 0.3, 1.0, 4.0):
+        s = dp.Shares()
+        assert 0 < s.parties * s.local(eps) <= eps * s.local_model * (1 + 1e-9) and s.parties * s.count(eps) == pytest.approx(eps * s.row_count)
+
+
 def test_relations(spark):
     ms = spark.createDataFrame([([0, 1],), ([1, 0],), ([0, 1, 2],), ([3],)], "measure array<int>")
     assert sorted(r["measure"] for r in rel.maximal(ms).collect()) == [[0, 1, 2], [3]]
@@ -273,6 +337,8 @@ def test_relations(spark):
     assert rel.split(df, "k", 1).where("train").count() == pytest.approx(82, abs=15)
     assert rel.row_sample(df, "k", 10, 1).count() == 10
     assert rel.top(df, "k", "k", 3).count() == 3
+    late = spark.createDataFrame([("x", 1.0, 0), ("y", 1.5, 1), ("z", 2.5, 1)], "m string, w double, r int")
+    assert [r["m"] for r in rel.top_late(late, "w", "m", 2, "r").collect()] == ["z", "x"]
 
 
 def test_consistency(spark):
@@ -337,7 +403,7 @@ def test_noiseless_synthesis_is_close(spark):
 def test_vertical(spark, method):
     rows = spark.range(600).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") % 2).alias("c"))
     made = vertical(rows, "row_id", ["a", "b"], ["c"], epsilon=4.0, m=32, method=method, max_steps=100)
-    assert made.count() == 600 and set(made.columns) == {"row_id", "a", "b", "c"}
+    assert made.count() == pytest.approx(600, abs=60) and set(made.columns) == {"row_id", "a", "b", "c"}
 
 
 @pytest.mark.parametrize("method", ["forest", "svm"])
