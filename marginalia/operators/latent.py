@@ -7,10 +7,11 @@ parameters. Rows stay in Spark in long form; parameters are a small table.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.hashing import uniform
@@ -118,6 +119,21 @@ class Latent:
         return post.groupBy("row_id", "factor").agg(F.max_by("state", F.struct(F.col("p"), -F.col("state"))).alias("label"))
 
 
+    def save(self, path: str) -> None:
+        from marginalia.sources.tables import write_text
+
+        for name in ("theta", "prior", "alpha"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        write_text(self.theta.sparkSession, json.dumps({"settings": asdict(self.settings), "history": self.history}), f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Latent:
+        from marginalia.sources.tables import read_text
+
+        meta = json.loads(read_text(spark, f"{path}/meta"))
+        return cls(Settings(**meta["settings"]), *[spark.read.parquet(f"{path}/{name}") for name in ("theta", "prior", "alpha")], meta["history"])
+
+
 def fit(df: DataFrame, columns: list[str], key: str, s: Settings = Settings()) -> Latent:
     rows = cut(long_rows(df, columns, key, s.missing))
     post, alpha, history = cut(first_posteriors(rows, s)), None, []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from marginalia.operators import marginals as mg
 from marginalia.operators import relations as rel
 from marginalia.operators.domain import Domain, decode_index, encode_index, grid
 from marginalia.plans.registry import WIDE, query, uniform_sql
-from marginalia.sources.tables import table
+from marginalia.sources.tables import checkpoint_dir, read_codes, read_csv, read_delimited, read_prepared, table, write_csv, write_prepared
 
 PARTY_A, PARTY_B = ["o_orderstatus", "o_orderpriority"], ["c_mktsegment", "c_nationkey"]
 
@@ -339,16 +341,67 @@ def positional_concat(spark, sf):
     return a.join(b, "row_id")
 
 
-@query("""WITH s AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY ALL), r AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey % 50 = 1 GROUP BY ALL)
-          SELECT s.l_returnflag, s.l_linenumber, s.n AS made, coalesce(r.n, 0) AS real FROM s LEFT JOIN r USING (l_returnflag, l_linenumber)""")
+@query("""WITH s AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT chr(ascii(l_returnflag) + 1) AS l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)
+          SELECT r.l_returnflag, r.l_linenumber, r.n AS made, coalesce(s.n, 0) AS real FROM r LEFT JOIN s USING (l_returnflag, l_linenumber)""")
 def sparse_lookup(spark, sf):
-    """Synthetic cells probed in the true ones; missing counts are 0."""
+    """Cells of a table with other flags, as a synthetic one may have, probed in the true ones; missing counts are 0."""
     rows, cols = table(spark, sf, "lineitem"), ["l_returnflag", "l_linenumber"]
-    made = mg.sparse(rows.where("l_orderkey % 50 = 0"), cols).withColumnRenamed("value", "made")
-    real = mg.sparse(rows.where("l_orderkey % 50 = 1"), cols).withColumnRenamed("value", "real")
+    made = mg.sparse(rows.withColumn("l_returnflag", F.char(F.ascii("l_returnflag") + 1)), cols).withColumnRenamed("value", "made")
+    real = mg.sparse(rows, cols).withColumnRenamed("value", "real")
     return made.join(real, cols, "left").withColumn("real", F.coalesce("real", F.lit(0)))
 
 
+# Files: tables written to the shared folder and read back
+
+
+def _new_path(spark) -> str:
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def csv_text(spark, sf):
+    """All columns of a CSV file as text."""
+    at = _new_path(spark)
+    write_csv(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"), at)
+    return read_csv(spark, at)
+
+
+@query("SELECT CAST(c_custkey AS INTEGER) AS c_custkey, CAST(c_nationkey AS INTEGER) AS c_nationkey FROM customer")
+def csv_codes(spark, sf):
+    """The columns of a CSV file as codes."""
+    at = _new_path(spark)
+    write_csv(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), at)
+    return read_codes(spark, at)
+
+
+@query("""SELECT CAST(r_regionkey AS VARCHAR) AS "0", r_name AS "1" FROM region""")
+def delimited_lines(spark, sf):
+    """Lines without a header, whose columns are named by number."""
+    at = _new_path(spark)
+    table(spark, sf, "region").select("r_regionkey", "r_name").write.option("sep", ";").csv(at)
+    return read_delimited(spark, at, ";")
+
+
+@query("""SELECT CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority FROM orders""")
+def prepared_table(spark, sf):
+    """A coded table with its domain and hierarchy, as stored for later use."""
+    at, orders = _new_path(spark), table(spark, sf, "orders")
+    books = enc.dictionaries(orders, PARTY_A)
+    domain = enc.domain_of(books)
+    write_prepared(enc.encode(orders, PARTY_A, [], books), domain, tree.one_level([0, 1], list(domain.shape)), books, at, "orders")
+    coded, found, roots = read_prepared(spark, at, "orders")
+    assert found == domain and [len(r.leaves()) for r in roots] == list(domain.shape)
+    return coded
+
+
+@query("""SELECT 'l_returnflag' AS name, count(DISTINCT l_returnflag) AS size FROM lineitem UNION ALL SELECT 'l_linenumber', count(DISTINCT l_linenumber) FROM lineitem
+          UNION ALL SELECT 'cells', count(DISTINCT l_returnflag) * count(DISTINCT l_linenumber) FROM lineitem""")
+def domain_sizes(spark, sf):
+    """A domain of two columns, and the cells of their product."""
+    d = enc.domain_of(enc.dictionaries(table(spark, sf, "lineitem"), ["l_returnflag", "l_linenumber"]))
+    return spark.createDataFrame([*d.reorder(["l_returnflag", "l_linenumber"]).items(), ("cells", d.size)], "name string, size long")
+
+
 @query("""SELECT l_returnflag, l_linestatus, greatest(0e0, count(*) - 15000e0) AS value FROM lineitem GROUP BY ALL""")
 def clamp_negatives(spark, sf):
     f = _flag_status(spark, sf)

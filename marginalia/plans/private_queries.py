@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from marginalia.functions import register
-from marginalia.operators import consistency, latent, local_dp, mrf, sketch, synthesis
+from marginalia.operators import consistency, evaluate, latent, local_dp, mrf, sketch, synthesis
 from marginalia.operators import encode as enc
 from marginalia.operators import graph as gr
 from marginalia.operators import hierarchy as tree
@@ -234,6 +234,17 @@ def fm_histogram(spark, sf):
     return rounded(sketch.histogram(a.unionByName(b), n, M), "count", digits=4)
 
 
+_SET_LEVEL = f"CAST(ceil(ln(({hash_sql('seed || ' + chr(39) + '|' + chr(39) + ' || key')} + 1e0) / 4294967296e0) / {math.log(0.5)!r}e0) AS INTEGER)"
+
+
+@query(f"""WITH k AS (SELECT CAST(size AS INTEGER) AS size, CAST(repeat AS INTEGER) AS repeat, size || '|' || repeat || '|' || unnest(range(size)) AS key FROM (VALUES (300), (600)) AS s(size) CROSS JOIN range(3) r(repeat)),
+           a AS (SELECT size, repeat, seed, max({_SET_LEVEL}) AS alpha FROM k CROSS JOIN range(64) t(seed) GROUP BY ALL), e AS (SELECT size, repeat, {64 * sketch.bias(64)!r}e0 / sum(pow(2e0, -alpha)) AS estimate FROM a GROUP BY ALL)
+           SELECT size, repeat, round(estimate, 6) AS estimate, round(abs(estimate - size) / size, 6) AS error FROM e""")
+def sketch_accuracy(spark, sf):
+    """Sketches of sets of known sizes, against these."""
+    return rounded(evaluate.sketch_accuracy(spark, [300, 600], 64, 3), "estimate", "error")
+
+
 # Noise
 
 
@@ -395,17 +406,19 @@ def consistency_one_round(spark, sf):
     return rounded(consistency.agree(x.unionByName(y), "place"), "value")
 
 
+# No cell becomes negative here, so one round makes both sides agree on the mean and the others change nothing.
+@query("""WITH a AS (SELECT l_linestatus, count(*)::DOUBLE AS v FROM lineitem GROUP BY ALL), b AS (SELECT l_linestatus, sum(1 + l_linenumber / 1000e0) AS v FROM lineitem GROUP BY ALL),
+          m AS (SELECT l_linestatus, (a.v + b.v) / 2 AS mean FROM a JOIN b USING (l_linestatus)), n AS (SELECT count(*)::DOUBLE AS n FROM lineitem)
+          SELECT source, l_linestatus, round(mean * n / sum(mean) OVER (PARTITION BY source), 5) AS value FROM m, n, (VALUES ('a'), ('b')) AS s(source)""")
 def consistency_enforced(spark, sf):
     rows = table(spark, sf, "lineitem")
     tables = {
-        "a": mg.sparse(rows, ["l_returnflag", "l_linestatus"]),
-        "b": mg.sparse(rows.where("l_orderkey % 2 = 0"), ["l_linestatus", "l_linenumber"]),
+        "a": mg.sparse(rows, ["l_returnflag", "l_linestatus"]).withColumn("value", F.col("value").cast("double")),
+        "b": mg.sparse(rows, ["l_linestatus", "l_linenumber"]).withColumn("value", F.col("value") * (1 + F.col("l_linenumber") / 1000.0)),
     }
-    out = consistency.enforce({k: t.withColumn("value", F.col("value").cast("double")) for k, t in tables.items()}, float(rows.count()))
-    return out["a"].select(F.lit("a").alias("source"), F.col("l_linestatus"), F.col("value")).unionByName(out["b"].select(F.lit("b").alias("source"), "l_linestatus", "value")).groupBy("source", "l_linestatus").agg(F.sum("value").alias("value"))
-
-
-query()(consistency_enforced)
+    out = consistency.enforce(tables, float(rows.count()))
+    sides = mg.union_all([out[k].select(F.lit(k).alias("source"), "l_linestatus", "value") for k in ("a", "b")])
+    return rounded(sides.groupBy("source", "l_linestatus").agg(F.sum("value").alias("value")), "value", digits=5)
 
 
 _GRAPH = ["l_returnflag", "l_linestatus", "l_linenumber", "l_tax"]
@@ -430,16 +443,21 @@ def graph_edges(spark, sf):
     return spark.createDataFrame([(*sorted(e), round(float(scores[e]), 9)) for e in found.edges], "src string, dst string, tvd double")
 
 
+_NORMAL_CELL = _normal_sql("'5|' || g.coarse || '|' || g.sub || '|' || g.c_mktsegment")
+
+
+@query(f"""WITH t AS (SELECT n_nationkey, CAST(dense_rank() OVER (ORDER BY n_regionkey) - 1 AS INTEGER) AS coarse, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS sub, count(*) OVER (PARTITION BY n_regionkey) AS size FROM nation),
+           r AS (SELECT coarse, sub, c_mktsegment FROM customer JOIN t ON c_nationkey = n_nationkey), c AS (SELECT coarse, sub, c_mktsegment, count(*) AS n FROM r GROUP BY ALL),
+           g AS (SELECT * FROM (SELECT DISTINCT coarse FROM r) CROSS JOIN (SELECT DISTINCT sub FROM r) CROSS JOIN (SELECT DISTINCT c_mktsegment FROM r))
+           SELECT g.coarse AS c_nationkey, g.sub AS c_nationkey_sub, g.c_mktsegment, round(CASE WHEN g.sub < s.size THEN coalesce(n, 0) + 2e0 * {_NORMAL_CELL} ELSE 0e0 END, 6) AS value
+           FROM g LEFT JOIN c ON g.coarse = c.coarse AND g.sub = c.sub AND g.c_mktsegment = c.c_mktsegment JOIN (SELECT DISTINCT coarse, size FROM t) s ON s.coarse = g.coarse""")
 def noisy_hierarchy_marginal(spark, sf):
     """Customers by region, nation and segment, with noise, and zeros where a region has no such nation."""
     from marginalia.operators.router import noisy_level_marginal
     from marginalia.plans.marginal_queries import nation_tree
 
     coarse = tree.coarse_table(spark, nation_tree(spark, sf), 0)
-    return noisy_level_marginal(table(spark, sf, "customer"), "c_nationkey", coarse, ["c_mktsegment"], 2.0, 5)
-
-
-query()(noisy_hierarchy_marginal)
+    return rounded(noisy_level_marginal(table(spark, sf, "customer"), "c_nationkey", coarse, ["c_mktsegment"], 2.0, 5), "value")
 
 
 # Accounting

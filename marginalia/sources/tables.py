@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from marginalia.operators import hierarchy
 from marginalia.operators.domain import Domain
+from marginalia.operators.graph import Edge, Graph
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,16 +82,50 @@ def graph_json(nodes: list, edges: list[tuple]) -> str:
     return json.dumps({"nodes": [{"id": n} for n in nodes], "links": [{"source": a, "target": b} for a, b in edges]})
 
 
+def write_graph(spark: SparkSession, graph: Graph, path: str) -> None:
+    write_text(spark, graph_json(graph.nodes, [tuple(sorted(e, key=graph.nodes.index)) for e in sorted(graph.edges, key=sorted)]), path)
+
+
+def read_graph(spark: SparkSession, path: str) -> Graph:
+    got = json.loads(read_text(spark, path))
+    return Graph([n["id"] for n in got["nodes"]], {Edge((e["source"], e["target"])) for e in got["links"]})
+
+
+def write_measures(spark: SparkSession, measures: list[tuple], path: str) -> None:
+    """One JSON line for each measure, with its place in the list."""
+    rows = [(k, list(map(str, m))) for k, m in enumerate(measures)]
+    spark.createDataFrame(rows, "place int, measure array<string>").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_measures(spark: SparkSession, path: str) -> list[tuple]:
+    return [tuple(r["measure"]) for r in spark.read.schema("place int, measure array<string>").json(path).orderBy("place").collect()]
+
+
 def append_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def log_entropies(spark: SparkSession, path: str, data: str, epsilon: float, entropies: list[float]) -> None:
+    """Append a model's entropy after each step; of repeated keys `read_entropies` gives the last."""
+    rows = [(data, float(epsilon), k, float(h), time.time_ns()) for k, h in enumerate(entropies)]
+    append_results(spark.createDataFrame(rows, "data string, epsilon double, step int, entropy double, at long"), path)
+
+
+def read_entropies(spark: SparkSession, path: str) -> DataFrame:
+    from marginalia.operators.relations import latest
+
+    return latest(spark.read.parquet(path), ["data", "epsilon", "step"], "at").drop("at")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; without a setting only one machine has one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return found.get() if found.isDefined() else "/tmp/checkpoints/marginalia"
+    if not at:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = found.get() if found.isDefined() else "/tmp/checkpoints/marginalia"
+    return at
 
 
 def cut(df: DataFrame) -> DataFrame:
