@@ -349,7 +349,7 @@ def test_consistency(spark):
     assert margins[0] == pytest.approx(margins[1])
 
 
-def test_latent_finds_a_common_cause(spark):
+def test_latent_finds_a_common_cause(spark, tmp_path):
     r = random.Random(0)
     rows = []
     for k in range(400):
@@ -361,6 +361,9 @@ def test_latent_finds_a_common_cause(spark):
     label = {x["row_id"]: x["label"] for x in model.transform(df, cols, "k").collect()}
     agree = sum(label[k] == k % 2 for k in range(400)) / 400
     assert max(agree, 1 - agree) > 0.9 and model.history[-1] > 0.5
+    model.save(str(tmp_path / "latent"))
+    again = latent.Latent.load(spark, str(tmp_path / "latent"))
+    assert again.settings == model.settings and {x["row_id"]: x["label"] for x in again.transform(df, cols, "k").collect()} == label
 
 
 def test_registered_functions(spark):
@@ -384,6 +387,14 @@ def test_sources(spark, tmp_path):
     (tmp_path / "x.dat").write_text("1 2 3\n4 5 6\n")
     assert [tuple(r) for r in tables.read_delimited(spark, str(tmp_path / "x.dat")).collect()] == [("1", "2", "3"), ("4", "5", "6")]
     assert json.loads(tables.graph_json(["a", "b"], [("a", "b")]))["links"] == [{"source": "a", "target": "b"}]
+    graph = gr.Graph(["b", "a", "c"], {gr.Edge("ab"), gr.Edge("ac")})
+    tables.write_graph(spark, graph, str(tmp_path / "graph"))
+    assert tables.read_graph(spark, str(tmp_path / "graph")) == graph
+    tables.write_measures(spark, [("b",), ("a", "c")], str(tmp_path / "measures"))
+    assert tables.read_measures(spark, str(tmp_path / "measures")) == [("b",), ("a", "c")]
+    tables.log_entropies(spark, str(tmp_path / "log"), "t", 1.0, [3.0, 2.0])
+    tables.log_entropies(spark, str(tmp_path / "log"), "t", 1.0, [2.5])
+    assert sorted(tuple(r) for r in tables.read_entropies(spark, str(tmp_path / "log")).collect()) == [("t", 1.0, 0, 2.5), ("t", 1.0, 1, 2.0)]
     tables.append_results(df, str(tmp_path / "r"))
     tables.append_results(df, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).count() == 4
@@ -412,6 +423,25 @@ def test_misclassification(spark, method):
     assert evaluate.misclassification(df, df, ["a", "b", "c"], "a", method) == pytest.approx(0.0)
 
 
+def test_kernel_machine_learns_what_no_line_divides(spark):
+    r = random.Random(2)
+    rows = [(x, y, int(x * x + y * y < 1.2)) for x, y in ((r.gauss(0, 1), r.gauss(0, 1)) for _ in range(600))]
+    df = spark.createDataFrame(rows, "a double, b double, c int")
+    train, test = df.limit(400), df.subtract(df.limit(400))
+    wrong = {m: evaluate.misclassification(train, test, ["a", "b", "c"], "c", m) for m in ("rbf", "svm")}
+    assert wrong["rbf"] < 0.12 < 0.3 < wrong["svm"]
+
+
+def test_cosines_stand_for_the_kernel(spark):
+    from pyspark.ml.linalg import Vectors
+
+    x = np.random.default_rng(1).normal(0, 1, (20, 3))
+    df = spark.createDataFrame([(k, Vectors.dense(v)) for k, v in enumerate(x)], ["k", "features"])
+    z = np.array([r["features"].toArray() for r in evaluate.fourier_features(df, 3, 0, 4000).orderBy("k").collect()])
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 3)
+    assert np.abs(z @ z.T - kernel).max() < 0.1
+
+
 def test_router(spark, hand):
     from marginalia.operators import router
 
