@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,6 @@ def misclassification(train: DataFrame, test: DataFrame, columns: list[str], tar
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
-
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
@@ -62,8 +63,6 @@ def fourier_features(df: DataFrame, d: int, seed: int, number: int = FOURIER) ->
 
     Inner products of two such vectors come near the kernel exp(-|x - y|^2 / d).
     """
-    import numpy as np
-    import pandas as pd
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rng = np.random.default_rng(seed)
