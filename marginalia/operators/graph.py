@@ -123,7 +123,7 @@ def entropy_score(graph: Graph, entropy) -> float:
     return -(total - sum(entropy(tuple(sorted(set(parts[i]) & set(parts[j])))) for i, j in junction_tree(parts) if set(parts[i]) & set(parts[j])))
 
 
-def search(nodes: list, dependence: dict, sizes: dict, penalty: float = 0.0, clique_cells: float = 1e5, all_cells: float = 3e5, patience: int = 3) -> Graph:
+def climb(nodes: list, dependence: dict, sizes: dict, penalty: float = 0.0, clique_cells: float = 1e5, all_cells: float = 3e5, patience: int = 3) -> Graph:
     """Toggle the edge that improves the score most, until none does (or none for `patience` steps sideways)."""
     best = now = Graph(list(nodes))
     top = held = score(now, dependence, sizes, penalty, clique_cells, all_cells)
@@ -144,7 +144,12 @@ def search(nodes: list, dependence: dict, sizes: dict, penalty: float = 0.0, cli
             stuck += 1
             if stuck >= patience:
                 break
-    return triangulate(best)
+    return best
+
+
+def search(nodes: list, dependence: dict, sizes: dict, penalty: float = 0.0, clique_cells: float = 1e5, all_cells: float = 3e5, patience: int = 3) -> Graph:
+    """The graph that climbing finds, triangulated."""
+    return triangulate(climb(nodes, dependence, sizes, penalty, clique_cells, all_cells, patience))
 
 
 def subsets(graph: Graph, n: int) -> list[tuple]:
