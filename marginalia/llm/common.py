@@ -9,10 +9,12 @@ words' hashes in the same way.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -199,6 +201,32 @@ def batches(it: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, rows: int |
             yield b.slice(i, j - i), data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
 
 
+def give_back() -> None:
+    """Hand what this process has freed to the system, instead of keeping it for later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that gives back what it has freed, after each batch it makes and at its end.
+
+    Spark keeps workers for later tasks, beside a JVM that has grown to its
+    whole heap; what a worker holds then counts as the executor's memory.
+    """
+
+    @functools.wraps(run)
+    def own(it):
+        for out in run(it):
+            yield out
+            del out
+            give_back()
+        give_back()
+
+    return own
+
+
 def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, text and a bucket by a hash of both, so that rows without an id or with one in common are dealt out too."""
     return docs.select(
@@ -231,9 +259,9 @@ class WordTable:
 
     def __init__(self, encode, limit: int):
         self.encode, self.limit = encode, limit
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -242,7 +270,7 @@ class WordTable:
         if not words.start.size:
             return self.pool, np.zeros(0, np.int64), np.zeros(0, np.int64)
         if self.keys.size > self.limit:
-            self._clear()
+            self.clear()
         h = words.hashes()
         long = words.end - words.start > self.LONG
         if long.any():

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import ids_of, shuffle_partitions, stored, text_buffers, unused
+from marginalia.llm.common import ids_of, shuffle_partitions, stored, text_buffers, thrifty, unused
 
 SLOTS = 4
 MAX_KICKS = 500
@@ -160,6 +160,7 @@ def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, lis
         yield b, [hashlib.sha256(bytes(raw[i:j]).lower()).digest() for i, j in zip(at, at[1:])]
 
 
+@thrifty
 def _map_index(it):
     index = CuckooIndex()
     for b in it:
@@ -171,6 +172,7 @@ def _map_index(it):
     yield _index_batch(index)
 
 
+@thrifty
 def _merge_index(it):
     """Rows come in the order of their digests, so a digest that has been passed is done with."""
     index, last = CuckooIndex(), None
@@ -184,6 +186,7 @@ def _merge_index(it):
     yield _index_batch(index)
 
 
+@thrifty
 def _map_digests(it):
     for b, keys in _digests(it):
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "digest"])
@@ -226,7 +229,7 @@ def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with the columns of docs; of rows with equal doc_id and equal text one."""
     mark = unused("marginalia_digest", docs)
     verdict = dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
-    marked = docs.mapInArrow(_with_digest(mark), T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())]))
+    marked = docs.mapInArrow(thrifty(_with_digest(mark)), T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())]))
     a, b = marked.alias("a"), verdict.withColumn("digest", F.unhex("text_sha256")).alias("b")
     same = F.col("a.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")) & (F.col(f"a.{mark}") == F.col("b.digest"))
     once = a.join(b.where("n = 1"), same, "left_semi")

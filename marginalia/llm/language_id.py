@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import LOWER, batches, unused
+from marginalia.llm.common import LOWER, batches, thrifty, unused
 
 UNDETERMINED = "und"
 #: n-grams of 1, 2 and 3 bytes of the lowered text fall into so many buckets.
 BUCKETS = 4096
 #: The bound on the training sample: distinct texts of each language, about.
 SAMPLE_PER_LANGUAGE = 1500
-#: Documents in one piece of work, each with BUCKETS numbers.
-PIECE_ROWS = 512
+#: Documents in one piece of work, each with BUCKETS numbers of some 30 bytes in all.
+PIECE_ROWS = 128
 #: Leads (in weighted loss per bit) below this are ambiguous.
 AMBIGUOUS_LEAD = 0.1
 STEPS = 300
@@ -103,6 +103,7 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+@thrifty
 def _features(it):
     for b, data, bounds in batches(it, rows=PIECE_ROWS):
         v = _vectors(data, bounds).astype(np.float16)
@@ -210,7 +211,7 @@ def annotate(docs: DataFrame, model: Model, out: list[str] = OUT) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
     schema = T.StructType([*docs.schema.fields, *map(T.StructField, out, kinds)])
-    return docs.mapInArrow(_predict(shared, bool(model.languages), out), schema)
+    return docs.mapInArrow(thrifty(_predict(shared, bool(model.languages), out)), schema)
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import LOWER, Words, batches, mix, release, stored
+from marginalia.llm.common import LOWER, Words, batches, give_back, mix, release, stored, thrifty
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -151,7 +151,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     """The pairs (a, b) whose full sets reach the threshold."""
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_confirm(percent, k), "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(thrifty(_confirm(percent, k)), "a long, b long")
 
 
 def _shingle_hashes(k: int, seed: int):
@@ -169,7 +169,7 @@ def _shingle_hashes(k: int, seed: int):
 
 def _shared_sets(loose: DataFrame, texts: DataFrame, percent: int, k: int, seed: int) -> DataFrame:
     """SETS of the loose documents' texts: n, its size; rare, of its rarest shingles those that other texts have, as many as a linked set may lack and one more; shingles, all that other texts have."""
-    rows = loose.join(texts.withColumnRenamed("doc_id", "doc"), "doc").mapInArrow(_shingle_hashes(k, seed), "doc long, comp long, key long, shingles array<long>")
+    rows = loose.join(texts.withColumnRenamed("doc_id", "doc"), "doc").mapInArrow(thrifty(_shingle_hashes(k, seed)), "doc long, comp long, key long, shingles array<long>")
     every = rows.select("doc", "comp", "key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     # A table of its own, so that a shingle in very many documents can be split in the join.
     known = stored(every.groupBy("shingle").agg(F.count("*").alias("docs")).where("docs > 1"), "known")
@@ -241,6 +241,9 @@ def _tile_links(percent: int):
         if group.column("low")[0].as_py() != group.column("high")[0].as_py():
             linked &= tile[:, None] != tile[None, :]
         edges = forest(linked, comp)
+        del both, linked
+        if n.size > TILE_DOCS // 4:
+            give_back()
         return pa.table({"a": pa.array([int(doc[i]) for i, _ in edges], pa.int64()), "b": pa.array([int(doc[j]) for _, j in edges], pa.int64())})
 
     return run
@@ -302,7 +305,7 @@ def components(edges: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = stored(named.mapInArrow(_signatures(bands_for(percent, rows, miss), rows, k), SIGNATURES), "signatures")
+    signed = stored(named.mapInArrow(thrifty(_signatures(bands_for(percent, rows, miss), rows, k)), SIGNATURES), "signatures")
 
     # Tables of their own below, so that a hot sequence or band can be split in the joins.
     classes = stored(signed.where("doc_id is not null and sequence is not null").groupBy("sequence").agg(F.min("doc_id").alias("rep")), "sequences")

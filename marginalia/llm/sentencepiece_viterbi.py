@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WordTable, Words, batches, gathered
+from marginalia.llm.common import WordTable, Words, batches, gathered, thrifty
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -44,7 +44,7 @@ ONLY_SPACE = np.zeros(256, bool)
 ONLY_SPACE[0x20] = True
 #: Characters after which the window of a long word is searched for a common boundary.
 STRIDE = 256
-#: Words whose ids a worker remembers.
+#: Words whose ids a task remembers.
 CACHE_WORDS = 1_000_000
 #: Pairs of pieces whose test a worker remembers.
 CACHE_PAIRS = 500_000
@@ -277,21 +277,25 @@ def _encode(path: str | None):
     def run(it):
         enc = encoder(path)
         gc.disable()  # millions of small tuples and no cycles
-        for b, data, bounds in batches(it, 1 << 20):
-            flat, sizes = enc.flat(data, bounds)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
-            listed, cut = flat.tolist(), at.tolist()
-            raw, ends = data.tobytes(), bounds.tolist()
-            same = [enc.decode(listed[i:j]) == raw[k:m].decode().replace(SPACE, " ") for i, j, k, m in zip(cut, cut[1:], ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), ids, pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
+        try:
+            for b, data, bounds in batches(it, 1 << 20):
+                flat, sizes = enc.flat(data, bounds)
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+                listed, cut = flat.tolist(), at.tolist()
+                raw, ends = data.tobytes(), bounds.tolist()
+                same = [enc.decode(listed[i:j]) == raw[k:m].decode().replace(SPACE, " ") for i, j, k, m in zip(cut, cut[1:], ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), ids, pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
+        finally:
+            gc.enable()  # the worker goes on to other tasks
+            enc.table.clear()
 
     return run
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, ids and whether the ids decode to the text (in which the mark of a space reads as a space)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(model), "doc_id long, ids array<int>, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(thrifty(_encode(model)), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def _decode(path: str | None):

@@ -1,14 +1,19 @@
 """The text operators against brute force, on the smallest tables and on edge cases."""
 
 import collections
+import gc
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -480,6 +485,39 @@ def test_window_stays_bounded():
     assert len(cuts) > 100 and max(cuts) <= 2 * sentencepiece_viterbi.STRIDE
 
 
+HELD = """
+import re, sys
+import pyarrow as pa
+from marginalia.llm import exact_dedup, language_id
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches(n, rows):
+    for k in range(n):
+        yield pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array([f"{k} {i} " + "word " * 400 for i in range(rows)]), pa.array(["en"] * rows)], names=["doc_id", "text", "lang"])
+
+run = {"digests": exact_dedup._map_digests, "vectors": language_id._features}[sys.argv[1]]
+sum(x.num_rows for x in run(batches(1, 100)))
+before = held()
+rows = sum(x.num_rows for x in run(batches(2, 10_000)))
+print(rows, held() - before)
+"""
+
+
+@pytest.mark.parametrize("what", ["digests", "vectors"])
+def test_a_worker_gives_back_what_a_task_took(what):
+    said = subprocess.run([sys.executable, "-c", HELD, what], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(__file__)))})
+    rows, more = said.stdout.split()
+    assert int(rows) == 20_000 and float(more) < 10
+
+
+def test_pieces_leave_a_worker_as_it_was():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words here", None])], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in sentencepiece_viterbi._encode(None)(iter([batch]))) == 2
+    assert gc.isenabled() and not sentencepiece_viterbi.encoder().table.keys.size
+
+
 def test_pieces_edges(odd, none):
     rows = sentencepiece_viterbi.encode(odd)
     back = sentencepiece_viterbi.decode(rows).collect()
